@@ -52,3 +52,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def salted(keys: list[str], salts: int):
     """A salt from the row's own columns, the same whenever the row is computed again."""
     return F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
+
+
+def held_out(doc_id, parts: int, rest: int):
+    """Whether crc32 of the id as text leaves that remainder; rows without an id are not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % parts == rest, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, parts: int, rest: int, rows: int) -> list[tuple[str, int]]:
+    """(text, label) of at most `rows` labels that are not held out, the same ones whenever it is asked.
+
+    Labels are chosen by the hash of their doc_id, so that no more than `rows` narrow rows are broadcast to the scan of
+    the texts. Null labels and ids take no part; of several labels of a document the largest holds; null texts are empty.
+    """
+    chosen = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+        .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, rest))
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(rows)
+    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
+    ordered = sorted(zip(*(found.column(i).to_pylist() for i in range(3)), strict=True), key=lambda r: (r[0], r[1]))[:rows]
+    return [(text, label) for _, text, label in ordered]

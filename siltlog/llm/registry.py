@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "op1_quality",
     "op6_simhash",
     "op7_secrets",
     "op10_bpe",
