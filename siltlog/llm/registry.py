@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "op1_quality",
     "op3_language",
+    "op5_toxicity",
     "op6_simhash",
     "op7_secrets",
     "op10_bpe",
