@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "op1_quality",
+    "op2_mix",
     "op3_language",
     "op5_toxicity",
     "op6_simhash",
