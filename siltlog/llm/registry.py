@@ -8,6 +8,7 @@ MODULES = (
     "op1_quality",
     "op2_mix",
     "op3_language",
+    "op4_fingerprint",
     "op5_toxicity",
     "op6_simhash",
     "op7_secrets",
