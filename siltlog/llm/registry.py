@@ -12,6 +12,7 @@ MODULES = (
     "op5_toxicity",
     "op6_simhash",
     "op7_secrets",
+    "op8_suffix",
     "op9_topk",
     "op10_bpe",
 )
