@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +43,33 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the rows of words h have each bit set, from the highest bit of the first word on."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
+    whole = len(bits) // 255 * 255  # sums of 255 rows fit into a byte
+    counts = bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return counts + bits[whole:].sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(parts: list[bytes], bits: int = 64, seed: int = 42) -> np.ndarray:
-    """bits / 64 words, the first the highest; word k counts the XXH64 under seed + k. A bit is set if it is in over half."""
-    out = np.zeros(bits // 64, np.uint64)
+    """bits / 64 words, of which the first is the contract's: a bit is set if it is in over half of the shingles' XXH64.
+
+    Further words count the bits of that hash mixed with their number.
+    """
+    words = bits // 64
     if not parts:
-        return out
-    for k in range(bits // 64):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(parts), CHUNK):
-            h = np.fromiter((xxhash.xxh64_intdigest(p, seed + k) for p in parts[at : at + CHUNK]), np.uint64)
-            counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > len(parts)).view(">u8")[0]
-    return out
+        return np.zeros(words, np.uint64)
+    counts = np.zeros(bits, np.int64)
+    step = max(255, CHUNK // words)
+    for at in range(0, len(parts), step):
+        h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts[at : at + step]), np.uint64)[:, None]
+        if words > 1:
+            m = h + np.arange(1, words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            m = (m ^ (m >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = np.concatenate([h, m ^ (m >> np.uint64(31))], axis=1)
+        counts += _bit_counts(h)
+    return np.packbits(2 * counts > len(parts)).view(">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,19 +87,43 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, seed: int = 42
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, size int")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, radius: int, ratio: float) -> list[tuple[int, int]]:
+@dataclass(frozen=True)
+class Near:
+    """Which fingerprints link: those of at most `radius` differing bits; or, with a similarity, those whose texts'
+    Jaccard similarity over shingles comes to it, as their bits tell: the part of the bits that differ is the angle
+    between two texts, its cosine gives the shingles they share, and with the texts' sizes the similarity follows."""
+
+    radius: int = 2
+    similarity: float = 0.0
+
+    def hits(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+        few = min(a.shape[1], 4)  # words that decide first
+        apart = np.zeros((len(a), len(b)), np.uint16)
+        for k in range(few):
+            apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+        if not self.similarity:
+            for k in range(few, a.shape[1]):
+                apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+            return apart <= self.radius
+        # six deviations of the estimate above the angle of the similarity
+        part = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+        hits = apart <= 64 * few * part + 6 * math.sqrt(64 * few * part * (1 - part))
+        rows, columns = np.nonzero(hits)
+        if len(rows):
+            x, y = sizes_a[rows].astype(float), sizes_b[columns].astype(float)
+            differ = np.bitwise_count(a[rows] ^ b[columns]).sum(axis=1, dtype=np.int64)
+            shared = np.cos(np.pi * differ / (64 * a.shape[1])) * np.sqrt(x * y)
+            hits[rows, columns] = (shared >= self.similarity * (x + y - shared)) | (differ == 0)
+        return hits
+
+
+def _forest(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, near: Near) -> list[tuple[int, int]]:
     """Links that hold together what the links between rows of a and rows of b (numbered behind a's) hold together."""
     n = len(a)
     group, links = np.arange(n + len(b)), []
-    for at in range(0, n, BLOCK):
-        part = a[at : at + BLOCK]
-        apart = np.zeros((len(part), len(b)), np.uint16)
-        for k in range(a.shape[1]):
-            apart += np.bitwise_count(part[:, k, None] ^ b[None, :, k])
-        hits = apart <= radius
-        if ratio:
-            low, high = sizes_a[at : at + BLOCK, None], sizes_b[None, :]
-            hits &= np.minimum(low, high) >= ratio * np.maximum(low, high)
+    step = max(8, BLOCK // a.shape[1])
+    for at in range(0, n, step):
+        hits = near.hits(a[at : at + step], b, sizes_a[at : at + step], sizes_b)
         for row in np.flatnonzero(hits.any(axis=1)):
             to = np.flatnonzero(hits[row]) + n
             own = group[at + row]
@@ -94,13 +134,15 @@ def _forest(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarr
     return links
 
 
-def near_links(prints: DataFrame, bits: int, radius: int, size_ratio: float = 0.0) -> DataFrame:
-    """(u, v): links between different fingerprints of at most `radius` differing bits, enough of them for the components.
+def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
+    """(u, v): links between different fingerprints as `near` says, enough of them for the components.
 
-    prints: fingerprint and size, one row for each fingerprint. With size_ratio above 0, linked sizes are within that
-    ratio too. All pairs within the radius are compared, whatever the number of fingerprints. The parts of the
-    population key are as many as the radius lets prune by.
+    prints: fingerprint and size, one row for each fingerprint. All pairs that can link are compared, whatever the
+    number of fingerprints. A small radius prunes by the population counts of four parts of the fingerprint; with a
+    similarity, sizes within its ratio are compared, as others can't come to it.
     """
+    size_ratio = near.similarity
+    radius = bits if size_ratio else near.radius
     parts = 4 if radius <= 4 else 1
     width = bits // parts // 4  # hex digits
     count = lambda i: sum(
@@ -147,7 +189,7 @@ def near_links(prints: DataFrame, bits: int, radius: int, size_ratio: float = 0.
                 words = lambda x: np.frombuffer(bytes.fromhex("".join(x)), ">u8").astype(np.uint64).reshape(len(x), -1)
                 sizes = [np.array(batch.column(k)[i].as_py(), np.int64) for k in (1, 3)]
                 both = a + b
-                for x, y in _forest(words(a), words(b), *sizes, radius, size_ratio):
+                for x, y in _forest(words(a), words(b), *sizes, near):
                     if both[x] != both[y]:
                         u.append(both[x])
                         v.append(both[y])
@@ -156,10 +198,13 @@ def near_links(prints: DataFrame, bits: int, radius: int, size_ratio: float = 0.
     return pairs.mapInArrow(run, "u string, v string")
 
 
-def simhash_components(
-    docs: DataFrame, words: int = 3, bits: int = 64, radius: int = 2, seed: int = 42, size_ratio: float = 0.0, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row: the smallest doc_id that links of at most `radius` bits reach.
+NEAR = Near()
+#: For corpora: five-word shingles, similarity 0.8, and bits enough to tell it to about 0.015.
+CORPUS = {"words": 5, "bits": 1024, "near": Near(similarity=0.8)}
+
+
+def simhash_components(docs: DataFrame, words: int = 3, bits: int = 64, near: Near = NEAR, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint and component_id of every row: the smallest doc_id that links reach.
 
     Null and wordless texts have fingerprint zero, which links like any other. Equal fingerprints are compared once,
     so groups of copies cost nothing. A null doc_id is kept, counts for links, but names no component unless it is
@@ -169,7 +214,7 @@ def simhash_components(
     prints = written(fingerprints(docs, words, bits, seed, id_col, text_col), "prints")
     # sizes of texts with equal fingerprints agree but for hash collisions; the largest speaks for them
     different = written(prints.groupBy("fingerprint").agg(F.max("size").alias("size"), F.min("doc_id").alias("low")), "different")
-    roots = components(near_links(different, bits, radius, size_ratio))
+    roots = components(near_links(different, bits, near))
     lows = salted_join(roots.withColumnRenamed("node", "fingerprint"), different.select("fingerprint", "low"), "fingerprint", "root")
     lows = lows.groupBy("root").agg(F.min("low").alias("lowest"))
     of = salted_join(roots, lows, "root", "node").select(F.col("node").alias("fingerprint"), "lowest")
@@ -177,6 +222,18 @@ def simhash_components(
     return salted_join(prints.drop("size"), own, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of each component over five-word shingles the document with the smallest doc_id stays.
+
+    Similar means a similarity of 0.8 or more as the fingerprints tell it. Columns and kept rows are unchanged. Of
+    repeated rows with one doc_id one stays. A document without doc_id stays if it has no copies.
+    """
+    found = simhash_components(docs, **CORPUS)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
