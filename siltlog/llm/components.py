@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltlog.llm.common import written
 
 #: Rows of one key are dealt to so many tasks when they are joined with what was found for the key.
-SALTS = 64
+SALTS = 16
 
 
 def salted_join(rows: DataFrame, found: DataFrame, key: str, spread: str) -> DataFrame:
