@@ -1,15 +1,192 @@
-"""Queries over the driver's tables, by name."""
+"""Queries over the driver's tables, by name, and the SQL that states their results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltlog.functions.keys import memory_bytes, record_bytes
+from siltlog.operators import mutations, replicas, runs, state
+from siltlog.plans.sql import SQL
+from siltlog.sources.tables import events_log, lineitem_batches
+from siltlog.streaming import ingest
+
+RANGE = ("user:000010", "user:000099:099")
+FLUSH_BYTES = 100 * 1024
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the events log, with the generation of their record."""
+    log = events_log(spark, d)
+    return log.select("seq", F.lit(0).alias("pos"), "ts", "key", "value", (F.col("op") == "DELETE").alias("deleted"), "gen")
+
+
+def _last_gen(entries: DataFrame) -> DataFrame:
+    return F.broadcast(entries.agg(F.max("gen").alias("_last")))  # one row
+
+
+def _flushed(entries: DataFrame) -> DataFrame:
+    """All generations but the last, which is still in memory."""
+    return entries.join(_last_gen(entries), F.col("gen") < F.col("_last")).drop("_last")
+
+
+def _tail(entries: DataFrame) -> DataFrame:
+    return entries.join(_last_gen(entries), F.col("gen") == F.col("_last")).drop("_last")
+
+
+def put_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    winner = F.max(F.struct("seq", "pos", "value", "deleted"))
+    found = _entries(spark, d).groupBy("key").agg(F.count("*").alias("versions"), winner.alias("w"))
+    return found.select("key", "versions", "w.seq", F.when(F.col("w.deleted"), "DELETE").otherwise("PUT").alias("op"), "w.value")
+
+
+def live_state(spark: SparkSession, d: str) -> DataFrame:
+    return state.live(_entries(spark, d))
+
+
+def tombstones(spark: SparkSession, d: str) -> DataFrame:
+    return state.tombstones(_entries(spark, d))
+
+
+def multi_get(spark: SparkSession, d: str) -> DataFrame:
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    key = F.concat(F.lit("user:"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(":"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0"))
+    return state.multi_get(_entries(spark, d), customers.select(key.alias("key")).distinct())
+
+
+def batch_put(spark: SparkSession, d: str) -> DataFrame:
+    return state.live(mutations.entries(lineitem_batches(spark, d)))
+
+
+def range_scan(spark: SparkSession, d: str) -> DataFrame:
+    return state.range_scan(_entries(spark, d), *RANGE)
+
+
+def range_limit(spark: SparkSession, d: str) -> DataFrame:
+    return state.range_scan(_entries(spark, d), *RANGE, limit=25)
+
+
+def range_inverted(spark: SparkSession, d: str) -> DataFrame:
+    return state.range_scan(_entries(spark, d), "user:000099", "user:000010")
+
+
+def validate_put(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet")
+    key = F.when(F.col("user_id") % 11 == 0, F.lit(None)).when(F.col("user_id") % 7 == 0, F.lit("")).otherwise(F.col("user_id").cast("string"))
+    value = F.when(F.col("event_type") != "error", F.col("value").cast("string"))
+    return mutations.validated_puts(events.select("event_id", key.alias("key"), value.alias("value"))).select("event_id", "status", "reason")
+
+
+def validate_batch(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    item = F.struct(
+        "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice",
+        F.concat_ws(":", F.lit("o"), "l_orderkey", "l_linenumber").alias("k"),
+        F.concat_ws("|", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long")).alias("v"),
+        (F.col("l_returnflag") == "R").alias("bad"),
+    )
+    one = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    requests = one.select("l_orderkey", F.transform("items", lambda x: x["k"]).alias("keys"), F.transform("items", lambda x: F.when(~x["bad"], x["v"])).alias("values"))
+    return mutations.validated_batches(requests).select("l_orderkey", "status", "bad_index", "accepted")
+
+
+def wal_bytes(spark: SparkSession, d: str) -> DataFrame:
+    log = events_log(spark, d).drop("gen").unionByName(lineitem_batches(spark, d))
+    size = record_bytes(*(F.col(c) for c in ("op", "key", "value", "keys", "values")))
+    return log.groupBy("op").agg(F.count("*").alias("records"), F.sum(size).alias("bytes"))
+
+
+def flush_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.flush(_entries(spark, d)).select("gen", "key", "value", "deleted", "seq")
+
+
+def flush_by_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by the byte limit: an order-dependent fold, which SQL can't state."""
+    return runs.run_meta(runs.flush(runs.generations_by_bytes(_entries(spark, d).drop("gen"), FLUSH_BYTES)))
+
+
+def run_meta(spark: SparkSession, d: str) -> DataFrame:
+    return runs.run_meta(runs.flush(_entries(spark, d)))
+
+
+def entry_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return run_meta(spark, d).select("file_number", "data_bytes", "memory_bytes")
+
+
+def sparse_index(spark: SparkSession, d: str) -> DataFrame:
+    return runs.sparse_index(runs.flush(_entries(spark, d)))
+
+
+def bloom_params(spark: SparkSession, d: str) -> DataFrame:
+    return runs.bloom_params(run_meta(spark, d))
+
+
+def run_pruning(spark: SparkSession, d: str) -> DataFrame:
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    user = lambda x: F.concat(F.lit("user:"), F.lpad(x.cast("string"), 6, "0"))
+    ranges = nation.select(F.col("n_nationkey").alias("range_id"), user(F.col("n_nationkey") * 8).alias("start"), user(F.col("n_nationkey") * 8 + F.col("n_regionkey")).alias("end"))
+    return runs.overlapping(run_meta(spark, d), ranges)
+
+
+def merge_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.merge(runs.flush(_entries(spark, d))).select("key", "value")
+
+
+def compaction(spark: SparkSession, d: str) -> DataFrame:
+    return runs.compaction_stats(runs.flush(_entries(spark, d)))
+
+
+def wal_tail(spark: SparkSession, d: str) -> DataFrame:
+    return _tail(_entries(spark, d)).select("seq", F.when(F.col("deleted"), "DELETE").otherwise("PUT").alias("op"), "key", "value")
+
+
+def wal_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Flushed runs and the tail of the log together give the state as it was."""
+    entries = _entries(spark, d)
+    flushed = runs.flush(_flushed(entries))
+    return runs.merge(flushed.unionByName(_tail(entries).select(*flushed.columns))).select("key", "value")
+
+
+def store_stats(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d)
+    memory = state.latest(_tail(entries)).agg(F.count("*").alias("memtable_entries"), F.sum(memory_bytes(F.col("key"), F.col("value"))).alias("memtable_bytes"))
+    meta = runs.run_meta(runs.flush(_flushed(entries)))
+    held = meta.agg(F.count("*").alias("run_count"), F.sum("entry_count").alias("run_entries"), F.sum("data_bytes").alias("run_bytes"), F.max("max_seq").alias("flushed_seq"))
+    return memory.join(held, F.lit(True))
+
+
+def replica_state(spark: SparkSession, d: str) -> DataFrame:
+    """What a replica holds that has applied all generations but the last, with the primary's sequence numbers."""
+    return state.latest(_flushed(_entries(spark, d))).where(~F.col("deleted")).select("key", "value", F.col("seq").alias("source_seq"))
+
+
+def replication_status(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d)
+    return replicas.status(entries, _flushed(entries))
+
+
+def replica_diff(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d)
+    return replicas.difference(entries, _flushed(entries)).select("side", "key", "value")
+
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The events ingested by a stream into a log, and the state of that log."""
+    return state.live(mutations.entries(ingest.ingested_events(spark, d)))
+
+
+_QUERIES = (
+    put_overwrite, live_state, tombstones, multi_get, batch_put, range_scan, range_limit, range_inverted, validate_put, validate_batch, wal_bytes, entry_bytes,
+    flush_runs, flush_by_bytes, run_meta, sparse_index, bloom_params, run_pruning, merge_runs, compaction, wal_tail, wal_replay, store_stats, replica_state,
+    replication_status, replica_diff, stream_ingest,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in SQL.items() if sql}
