@@ -30,6 +30,7 @@ THRESHOLD = 0.7
 STEP_BYTES = 1 << 20
 #: Between two texts; no n-gram or word reaches over it.
 GAP = max(GRAMS)
+_PRIME = 0x100000001B3
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [0, 9, 10, 11, 12, 13, 32])
 
@@ -47,21 +48,21 @@ def features(texts: list[bytes]):
     inside = np.arange(len(data)) - starts[owner] < lengths[owner] if len(data) else inside
     at = np.flatnonzero(inside)
     for n in range(2, GAP + 1):
-        h = h * np.uint64(0x100000001B3)
+        h = h * np.uint64(_PRIME)
         h[: len(h) - n + 1] += wide[n - 1 :] + np.uint64(1)
         if n in GRAMS:
             kinds.append((_bucket(h[at] + np.uint64(n)), owner[at]))
     space = _SPACE[data]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if len(first):
-        powers = np.cumprod(np.full(len(data), 0x100000001B3, np.uint64))
-        sums = np.add.reduceat(np.where(space, np.uint64(0), (wide + np.uint64(1)) * powers[::-1]), first)
-        # the same word gives the same number wherever it stands: scale by the power that its first byte didn't have
-        words, of = sums * powers[first], owner[first]
+        powers, inverse = (np.cumprod(np.full(len(data), x, np.uint64)) for x in (_PRIME, pow(_PRIME, -1, 1 << 64)))
+        sums = np.add.reduceat(np.where(space, np.uint64(0), (wide + np.uint64(1)) * powers), first)
+        # the same word gives the same number wherever it stands: its first byte's power is taken out again
+        words, of = sums * inverse[first], owner[first]
         kinds.append((_bucket(words), of))
         # word pairs are hashed by their pattern: the second repeats the first, or not
-        again = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
-        kinds.append((_bucket(np.where(again, np.uint64(1), np.uint64(2))), of[1:]))
+        pair = of[1:] == of[:-1]
+        kinds.append((_bucket(np.where((words[1:] == words[:-1])[pair], np.uint64(1), np.uint64(2))), of[1:][pair]))
     return kinds
 
 

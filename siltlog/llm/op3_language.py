@@ -30,6 +30,9 @@ LEVEL = 6
 #: The next language must need this much more, as a part of the smallest size, or the choice is rejected.
 MARGIN = 0.02
 UNKNOWN = "und"
+#: Shorter texts are repeated before they are compressed: zstandard stores what it would hardly shrink, under any
+#: dictionary alike. What is repeated costs next to nothing, so the first time still decides.
+SHORT_BYTES, REPEATS = 256, 4
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -59,6 +62,8 @@ class Model:
     def sizes(self, text: str) -> list[int]:
         """Bytes that the text needs under each language."""
         data = folded(text).encode()
+        if len(data) < SHORT_BYTES:
+            data *= REPEATS
         return [len(c.compress(data)) for c in self.compressors()]
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
