@@ -140,4 +140,64 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-ORACLE_SQL = None
+_HASH = "CAST('0x' || substr(md5(concat_ws('|', '{seed}', {of})), 1, 8) AS BIGINT)"
+_DOC = "coalesce(CAST(doc_id AS VARCHAR), '~')"
+
+#: The same results, with all quotients ranked one by one.
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS sid, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), s0 AS (
+  SELECT sn, sid, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sn, sid
+), s1 AS (
+  SELECT *, CAST(CASE (row_number() OVER (ORDER BY sn, sid) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w,
+    CAST(sum(source_size) OVER () AS BIGINT) AS total
+  FROM s0
+), s2 AS (
+  SELECT *, source_size * {MOST_REPEATS} AS cap, row_number() OVER (ORDER BY source_size * {MOST_REPEATS} / w, sn, sid) AS pos FROM s1
+), s3 AS (
+  SELECT *, (total * {SHARE} - coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s2
+), s4 AS (
+  SELECT *, coalesce(least(CAST(cap AS DOUBLE), w * (SELECT arg_min(level, pos) FROM s3 WHERE level <= cap / w)), CAST(cap AS DOUBLE)) AS target,
+    CAST(ceil(source_size / greatest({SHARD_WORDS}, ceil(total / {MOST_SHARDS}))) AS BIGINT) AS n_shards
+  FROM s3
+), p AS (
+  SELECT d.*, s4.source_size, s4.target, {_HASH.format(seed=SEED, of=_DOC)} % greatest(n_shards, 1) AS shard, {_HASH.format(seed=SEED + 2, of=_DOC)} AS place
+  FROM d JOIN s4 USING (sn, sid)
+), c AS (
+  SELECT sn, sid, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(ceil(sum(size) / {BLOCK_WORDS}) AS BIGINT) AS n FROM p GROUP BY sn, sid, shard
+), b AS (
+  SELECT sn, sid, CAST(sum(n) AS BIGINT) AS blocks FROM c GROUP BY sn, sid
+), sw AS (
+  SELECT sn, sid, blocks, CASE WHEN source_size = 0 THEN 0 ELSE target * blocks / source_size END AS weight FROM s4 JOIN b USING (sn, sid)
+), sq AS (
+  SELECT sn, sid, count(*) AS quota FROM (
+    SELECT sn, sid, row_number() OVER (ORDER BY weight / (2 * k - 1) DESC, sn, sid, k) AS r
+    FROM (SELECT *, unnest(generate_series(1, 2 * blocks + 100)) AS k FROM sw WHERE weight > 0)
+  ) WHERE r <= (SELECT CAST(round(sum(weight)) AS BIGINT) FROM sw) GROUP BY sn, sid
+), cq AS (
+  SELECT sn, sid, shard, count(*) AS quota FROM (
+    SELECT c.sn, c.sid, c.shard, least(sq.quota, {MOST_REPEATS} * b.blocks) AS seats, row_number() OVER (PARTITION BY c.sn, c.sid ORDER BY c.n / (2 * k - 1) DESC, c.shard, k) AS r
+    FROM (SELECT *, unnest(generate_series(1, 2 * n + 100)) AS k FROM c) c JOIN sq USING (sn, sid) JOIN b USING (sn, sid)
+  ) WHERE r <= seats GROUP BY sn, sid, shard
+), q AS (
+  SELECT c.*, least(coalesce(cq.quota, 0), {MOST_REPEATS} * n) // greatest(n, 1) AS rounds, least(coalesce(cq.quota, 0), {MOST_REPEATS} * n) % greatest(n, 1) AS extra,
+    {_HASH.format(seed=SEED + 1, of="c.sid, CAST(c.shard AS VARCHAR)")} % greatest(n, 1) AS shift
+  FROM c LEFT JOIN cq USING (sn, sid, shard)
+), e AS (
+  SELECT p.*, sum(size) OVER (PARTITION BY sn, sid, shard ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS stop FROM p
+), x AS (
+  SELECT e.doc_id, e.size, e.source_size, e.target, e.stop, q.*, unnest([stop, stop - e.size]) AS edge, unnest([1, -1]) AS sign
+  FROM e JOIN q ON e.sn = q.sn AND e.sid = q.sid AND e.shard = q.shard
+), y AS (
+  SELECT *, CASE WHEN n = 0 THEN 0 ELSE least(((edge + 1) * n - 1) // shard_size, n) END AS block FROM x
+), z AS (
+  SELECT *, CASE WHEN n = 0 THEN 0 ELSE (block + shift) * extra // n END AS p1, CASE WHEN n = 0 THEN 0 ELSE (block + 1 + shift) * extra // n END AS p2, CASE WHEN n = 0 THEN 0 ELSE shift * extra // n END AS p0 FROM y
+)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+  CAST(least(greatest(sum(CASE WHEN size = 0 THEN 0 ELSE sign * (rounds * edge + CASE WHEN extra > 0 THEN (p1 - p0) * shard_size // n + CASE WHEN p2 > p1 THEN edge - block * shard_size // n ELSE 0 END ELSE 0 END) END), 0), 2 * any_value(size)) AS BIGINT) AS taken
+FROM z GROUP BY doc_id, stop, sn, sid, shard
+"""
