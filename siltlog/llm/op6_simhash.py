@@ -226,12 +226,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each component over five-word shingles the document with the smallest doc_id stays.
 
     Similar means a similarity of 0.8 or more as the fingerprints tell it. Columns and kept rows are unchanged. Of
-    repeated rows with one doc_id one stays. A document without doc_id stays if it has no copies.
+    rows with one doc_id and text one stays; different texts under one doc_id stay or go together. A document without
+    doc_id stays if no document with one is similar, once for each text.
     """
+    none = -(1 << 63)
     found = simhash_components(docs, **CORPUS)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(none)).alias("_key")).distinct()
+    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(none))).join(kept, "_key", "left_semi")
+    return rows.dropDuplicates(["_key", "text"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
