@@ -24,8 +24,10 @@ def canonical(text: Column) -> Column:
     """NFKC, case folding, NFKC again (folding can undo it), white space folded; null as empty."""
     nfkc = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
     fold = lambda x: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), x, F.lit(True))
-    # the first step leaves ASCII alone but for capitals, and most texts are mostly that
-    return F.trim(F.regexp_replace(nfkc(fold(nfkc(F.coalesce(text, F.lit(""))))), r"(?U)\s+", " "))
+    text = F.coalesce(text, F.lit(""))
+    # of ASCII, which has as many bytes as characters, all of that changes capitals only
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(nfkc(fold(nfkc(text))))
+    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def wide_hash(x: Column) -> Column:
@@ -42,10 +44,14 @@ def mixed_hashes(texts: DataFrame, canonical_col: str = "canonical", hash_col: s
     return groups.where(~F.col("pure")).select("hash")
 
 
-def resolved(rows: DataFrame, mixed: DataFrame, hash_col: str, strong_col: str, name: str) -> DataFrame:
-    """rows with the fingerprint `name`: the wide hash, and behind it the SHA-256 of the canonical text where the hash is mixed."""
+def resolved(rows: DataFrame, mixed: DataFrame, hash_col: str, text_col: str, name: str) -> DataFrame:
+    """rows with the fingerprint `name`: the wide hash, and behind it the SHA-256 of the canonical text where the hash is mixed.
+
+    The canonical text is made again for those rows only. Mixed hashes are so rare that Spark broadcasts them, by their size.
+    """
+    strong = F.sha2(canonical(F.col(text_col)).cast("binary"), 256)
     found = rows.join(mixed.select(F.col("hash").alias(hash_col), F.lit(True).alias("_mixed")), hash_col, "left")
-    return found.withColumn(name, F.when(F.col("_mixed"), F.concat(hash_col, F.lit("-"), strong_col)).otherwise(F.col(hash_col))).drop("_mixed")
+    return found.withColumn(name, F.when(F.col("_mixed"), F.concat(hash_col, F.lit("-"), strong)).otherwise(F.col(hash_col))).drop("_mixed")
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,8 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows stay and have equal fingerprints; an empty table gives an empty result; other columns are not read.
     """
     made = hashed(docs, id_col, text_col).withColumn("canonical", canonical(F.col("text")))
-    rows = made.withColumn("strong", F.sha2(F.col("canonical").cast("binary"), 256))
-    return resolved(rows, written(mixed_hashes(made), "mixed"), "hash", "strong", "fingerprint").select("doc_id", "text", "canonical", "fingerprint")
+    return resolved(made, written(mixed_hashes(made), "mixed"), "hash", "text", "fingerprint").select("doc_id", "text", "canonical", "fingerprint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,20 +108,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = edited.withColumn("edited_hash", wide_hash(canonical(F.col("edited"))))
     # equal hashes are followed by a comparison of the bytes; digests of different texts have no likeness at all
     like = lambda h, x: F.when((F.col("hash") == F.col(h)) & (canonical(F.col("text")) == canonical(F.col(x))), 1.0).otherwise(0.0)
-    strong = lambda x: F.sha2(x.cast("binary"), 256)
-    narrow = edited.select(
-        "doc_id",
-        "n_chars",
-        strong(F.col("edited")).alias("edited_sha256"),
-        "hash",
-        "edited_hash",
-        strong(canonical(F.col("text"))).alias("strong"),
-        strong(canonical(F.col("edited"))).alias("edited_strong"),
-        like("edited_hash", "edited").alias("near_edited"),
-        like("next_hash", "next_text").alias("near_next"),
-    )
-    found = resolved(resolved(narrow, mixed, "hash", "strong", "fingerprint"), mixed, "edited_hash", "edited_strong", "edited_fingerprint")
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    edited = edited.withColumn("near_edited", like("edited_hash", "edited")).withColumn("near_next", like("next_hash", "next_text")).drop("next_text", "next_hash")
+    found = resolved(resolved(edited, mixed, "hash", "text", "fingerprint"), mixed, "edited_hash", "edited", "edited_fingerprint")
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    return found.select("doc_id", "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 #: SQL engines besides Spark have no XXH64 and no NFKC; tests hold the result against a brute-force version.
