@@ -22,6 +22,8 @@ from siltlog.llm.common import table, written
 from siltlog.llm.components import components, salted_join
 
 NAME = "op6_simhash"
+#: Stands for a null doc_id where one has to be compared.
+NO_ID = -(1 << 63)
 #: Fingerprints in a tile; a fuller population class is dealt over several tiles.
 TILE = 2048
 #: Rows of a tile compared at a time.
@@ -73,28 +75,36 @@ def fingerprint(parts: list[bytes], bits: int = 64, seed: int = 42) -> np.ndarra
 
 
 def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (lowercase hex) and size (different shingles) of each whole text; null texts count as empty."""
+    """doc_id, th (XXH64 of the text), fingerprint (lowercase hex) and size (different shingles) of each whole text; null texts count as empty."""
 
     def run(batches):
         for batch in batches:
             prints, sizes = [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 parts = shingles(t.as_py(), words)
                 prints.append(fingerprint(parts, bits, seed).astype(">u8").tobytes().hex())
                 sizes.append(len(set(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string()), pa.array(sizes, pa.int32())], names=["doc_id", "fingerprint", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.string()), pa.array(sizes, pa.int32())], names=["doc_id", "th", "fingerprint", "size"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, size int")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fingerprint string, size int")
 
 
 @dataclass(frozen=True)
 class Near:
     """Which fingerprints link: those of at most `radius` differing bits; or, with a similarity, those whose texts'
-    Jaccard similarity over shingles comes to it, as their bits tell: the part of the bits that differ is the angle
-    between two texts, its cosine gives the shingles they share, and with the texts' sizes the similarity follows."""
+    Jaccard similarity over shingles comes to it less the slack, as their bits tell: the part of the bits that differ
+    is the angle between two texts, its cosine gives the shingles they share, and with the texts' sizes the similarity
+    follows. Such links are candidates; an exact check of the shingles follows."""
 
     radius: int = 2
     similarity: float = 0.0
+    #: How far below the similarity an estimate still is a candidate for the exact check.
+    slack: float = 0.0
+
+    @property
+    def least(self) -> float:
+        return self.similarity - self.slack
 
     def hits(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
         few = min(a.shape[1], 4)  # words that decide first
@@ -106,14 +116,14 @@ class Near:
                 apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
             return apart <= self.radius
         # six deviations of the estimate above the angle of the similarity
-        part = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+        part = math.acos(2 * self.least / (1 + self.least)) / math.pi
         hits = apart <= 64 * few * part + 6 * math.sqrt(64 * few * part * (1 - part))
         rows, columns = np.nonzero(hits)
         if len(rows):
             x, y = sizes_a[rows].astype(float), sizes_b[columns].astype(float)
             differ = np.bitwise_count(a[rows] ^ b[columns]).sum(axis=1, dtype=np.int64)
             shared = np.cos(np.pi * differ / (64 * a.shape[1])) * np.sqrt(x * y)
-            hits[rows, columns] = (shared >= self.similarity * (x + y - shared)) | (differ == 0)
+            hits[rows, columns] = (shared >= self.least * (x + y - shared)) | (differ == 0)
         return hits
 
 
@@ -199,40 +209,116 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
 
 
 NEAR = Near()
-#: For corpora: five-word shingles, similarity 0.8, and bits enough to tell it to about 0.015.
-CORPUS = {"words": 5, "bits": 1024, "near": Near(similarity=0.8)}
+#: For corpora: five-word shingles, similarity 0.8. 512 bits tell a similarity to about 0.04, so the slack is over four deviations.
+CORPUS = {"words": 5, "bits": 512, "near": Near(similarity=0.8, slack=0.18)}
+#: Documents of a loose component that are checked exactly with each other at a time; larger components are cut into pairs of such parts.
+PART = 256
+#: Shingles that are counted at a time.
+COLUMNS = 4096
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether the Jaccard similarity of each two sets of hashes comes to `similarity`; empty sets are similar to none."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], float)
+    owner = np.repeat(np.arange(n), sizes.astype(int))
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]  # shingles of one set only are shared by none
+    owner, number = owner[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    shared = np.zeros((n, n))
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        low, high = np.searchsorted(number, [at, at + COLUMNS])
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[owner[low:high], number[low:high] - at] = 1
+        shared += x @ x.T
+    return (shared > 0) & (shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-9)
+
+
+def checked_links(docs: DataFrame, different: DataFrame, loose: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): links between fingerprints of one loose component whose texts' shingles are similar, counted exactly.
+
+    One text of each fingerprint is read again for its shingles. A component of many texts is dealt over parts that
+    meet pair by pair, so no task holds more than two parts.
+    """
+    counts = loose.groupBy("root").count().select("root", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    members = salted_join(loose.withColumnRenamed("node", "fingerprint"), counts, "root", "fingerprint")
+    members = written(members.join(different.select("fingerprint", "of"), "fingerprint"), "members")
+    read = docs.withColumn("of", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th")))
+    texts = read.join(members, "of").select("root", "parts", "fingerprint", "text")
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(p) for p in shingles(t.as_py(), words)), np.uint64)).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["root", "parts", "fingerprint", "hashes"])
+
+    sets = texts.mapInArrow(hashed, "root string, parts int, fingerprint string, hashes binary")
+    part = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    units = sets.withColumn("a", part).withColumn("b", other).select("root", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "fingerprint", "hashes")
+
+    def solve(prints, sets):
+        group = np.arange(len(prints))
+        links = []
+        near = similar_pairs(sets, similarity)
+        for i in range(len(prints)):
+            for j in np.flatnonzero(near[i, :i]):
+                if group[i] != group[j]:
+                    links.append((prints[i], prints[j]))
+                    group[group == group[j]] = group[i]
+        return links
+
+    def run(batches):
+        unit, held = None, {}
+        out: list[tuple] = []
+        for batch in batches:
+            for root, i, j, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, i, j) != unit:
+                    if len(held) > 1:
+                        out += solve(list(held), list(held.values()))
+                    unit, held = (root, i, j), {}
+                held[fp] = np.frombuffer(hashes, np.uint64)
+        if len(held) > 1:
+            out += solve(list(held), list(held.values()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["u", "v"])
+
+    return units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "u string, v string")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, bits: int = 64, near: Near = NEAR, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id of every row: the smallest doc_id that links reach.
 
     Null and wordless texts have fingerprint zero, which links like any other. Equal fingerprints are compared once,
-    so groups of copies cost nothing. A null doc_id is kept, counts for links, but names no component unless it is
+    so groups of copies cost nothing. With a similarity the links that the fingerprints tell are checked exactly. A null doc_id is kept, counts for links, but names no component unless it is
     alone there (then null). Repeated rows are kept, rows that share a doc_id link only by their fingerprints. Columns
     besides id and text are not read. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, words, bits, seed, id_col, text_col), "prints")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    prints = written(fingerprints(docs, words, bits, seed), "prints")
     # sizes of texts with equal fingerprints agree but for hash collisions; the largest speaks for them
-    different = written(prints.groupBy("fingerprint").agg(F.max("size").alias("size"), F.min("doc_id").alias("low")), "different")
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th"))
+    different = written(prints.groupBy("fingerprint").agg(F.max("size").alias("size"), F.min("doc_id").alias("low"), one.alias("of")), "different")
     roots = components(near_links(different, bits, near))
+    if near.similarity:
+        roots = components(checked_links(docs, different, roots, words, near.similarity))
     lows = salted_join(roots.withColumnRenamed("node", "fingerprint"), different.select("fingerprint", "low"), "fingerprint", "root")
     lows = lows.groupBy("root").agg(F.min("low").alias("lowest"))
     of = salted_join(roots, lows, "root", "node").select(F.col("node").alias("fingerprint"), "lowest")
     own = written(different.join(of, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "low").alias("component_id")), "component")
-    return salted_join(prints.drop("size"), own, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
+    return salted_join(prints.drop("size", "th"), own, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each component over five-word shingles the document with the smallest doc_id stays.
 
-    Similar means a similarity of 0.8 or more as the fingerprints tell it. Columns and kept rows are unchanged. Of
+    Similar means a Jaccard similarity of 0.8 or more, counted exactly where the fingerprints come near it. Columns and kept rows are unchanged. Of
     rows with one doc_id and text one stays; different texts under one doc_id stay or go together. A document without
     doc_id stays if no document with one is similar, once for each text.
     """
-    none = -(1 << 63)
     found = simhash_components(docs, **CORPUS)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(none)).alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(none))).join(kept, "_key", "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key")).distinct()
+    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(kept, "_key", "left_semi")
     return rows.dropDuplicates(["_key", "text"]).select(*docs.columns)
 
 
