@@ -12,13 +12,14 @@ by their own hashes instead. Equal contexts of a task are settled before they ar
 from __future__ import annotations
 
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import shared_dir, table, written
+from siltlog.llm.common import table, written
 from siltlog.llm.repeats import later_windows
 
 NAME = "op8_suffix"
@@ -26,7 +27,7 @@ LENGTH, ANCHOR = 100, 32
 #: Different contexts of an anchor, in a task or in all, beyond which its windows are taken one by one.
 MANY = 64
 #: Bytes of contexts in one transform at least, but for the last; whole anchors go together.
-UNIT_BYTES = 1 << 20
+UNIT_BYTES = 1 << 19
 STEP_BYTES = 1 << 20
 #: Buckets for each shuffle partition, so that hashing them to partitions comes out even.
 BUCKETS_PER_PARTITION = 16
@@ -114,50 +115,40 @@ def settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, later
 
 
-def entries(texts: list[bytes], docs: list[int]) -> list[np.ndarray]:
-    """Entries of all contexts of the texts."""
-    out = []
-    gap = b"\xfe"
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= STEP_BYTES):
-            size += len(texts[end])
-            end += 1
-        part = texts[at:end]
-        data = np.frombuffer(gap.join([*part, b""]), np.uint8)
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        owner, lo, hi, anchor, key = contexts(data, starts, lengths)
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow column of texts without nulls, as they lie there, and where each text starts."""
+    wide = texts.type == pa.large_string()
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32, len(texts) + 1, texts.offset * (8 if wide else 4)).astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def entries(data: np.ndarray, cuts: np.ndarray, docs: np.ndarray, ths: np.ndarray) -> np.ndarray:
+    """Entries of all contexts of the texts data[cuts[i]:cuts[i + 1]]."""
+    out = [np.zeros(0, ENTRY)]
+    at, n = 0, len(docs)
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + STEP_BYTES, side="right")) - 1)
+        part, starts = data[cuts[at] : cuts[end]], cuts[at:end] - cuts[at]
+        owner, lo, hi, anchor, key = contexts(part, starts, np.diff(cuts[at : end + 1]))
         if len(lo):
             e = np.zeros(len(lo), ENTRY)
-            hashes = Hashes(data)
-            e["key"], e["ctx"] = key, hashes.of(lo, hi + LENGTH, anchor - lo)
-            ids = np.array(docs[at:end], np.int64)
-            th = np.fromiter((xxhash.xxh32_intdigest(t) for t in part), np.uint32, len(part))
-            e["doc"], e["th"] = ids[owner], th[owner]
+            e["key"], e["ctx"] = key, Hashes(part).of(lo, hi + LENGTH, anchor - lo)
+            e["doc"], e["th"] = docs[at + owner], ths[at + owner]
             e["lo"], e["off"], e["run"] = lo - starts[owner], anchor - lo, hi - lo
             out.append(e)
         at = end
-    return out
+    return np.concatenate(out)
 
 
-def windows_of(texts: dict[tuple[int, int], bytes], e: np.ndarray) -> np.ndarray:
-    """The windows of contexts e, each as an entry whose key and ctx are the two halves of the window's hash."""
-    if not len(e):
-        return np.zeros(0, ENTRY)
-    out = []
-    for row in e:
-        text = texts[(int(row["doc"]), int(row["th"]))]
-        lo, run = int(row["lo"]), int(row["run"])
-        data = np.frombuffer(text[lo : lo + run + LENGTH], np.uint8)
-        at = np.arange(run + 1)
-        hashes = Hashes(data)
-        w = np.zeros(run + 1, ENTRY)
-        w["key"], w["ctx"] = hashes.of(at, at + LENGTH, 1), hashes.of(at, at + LENGTH, 2)
-        w["doc"], w["th"], w["lo"] = row["doc"], row["th"], lo + at
-        out.append(w)
-    return np.concatenate(out)
+def windows_of(data: np.ndarray, doc: int, th: int, lo: int, run: int) -> np.ndarray:
+    """The windows lo..lo + run of a text, each as an entry whose key and ctx are the two halves of the window's hash."""
+    at = np.arange(run + 1)
+    hashes = Hashes(data[lo : lo + run + LENGTH])
+    w = np.zeros(run + 1, ENTRY)
+    w["key"], w["ctx"] = hashes.of(at, at + LENGTH, 1), hashes.of(at, at + LENGTH, 2)
+    w["doc"], w["th"], w["lo"] = doc, th, lo + at
+    return w
 
 
 def _many(e: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -200,25 +191,26 @@ def _place_hash(e: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, kind, blob) rows of all contexts of docs (doc, text), settled within each batch."""
+    """(bucket, kind, blob) rows of all contexts of docs (doc, th, text), settled within each batch."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            parts = entries(texts, ids)
-            if not parts:
+            docs_, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, cuts = _bytes_of(batch.column(2))
+            e, later = settle(entries(data, cuts, docs_, ths))
+            if not len(e):
                 continue
-            e, later = settle(np.concatenate(parts))
-            del parts
             many = _many(e, later)
             rows = [*_rows(MARK, e[later], buckets, _place_hash(e[later]))]
             keep = e[~later & ~many]
             rows += _rows(CONTEXT, keep, buckets, keep["key"])
             hot = e[~later & many]
+            del e, keep
             if len(hot):
-                by_place = {(i, xxhash.xxh32_intdigest(t)): t for i, t in zip(ids, texts, strict=True)}
-                w, again = settle(windows_of(by_place, hot))
+                of = {(int(d), int(t)): i for i, (d, t) in enumerate(zip(docs_, ths, strict=True))}
+                cut = lambda x: data[cuts[of[x]] : cuts[of[x] + 1]]
+                w = [windows_of(cut((int(x["doc"]), int(x["th"]))), x["doc"], x["th"], int(x["lo"]), int(x["run"])) for x in hot]
+                w, again = settle(np.concatenate(w))
                 rows += _rows(MARK, w[again], buckets, _place_hash(w[again]))
                 w = w[~again]
                 rows += _rows(WINDOW, w, buckets, w["key"])
@@ -273,87 +265,110 @@ def meet(found: DataFrame, partitions: int) -> DataFrame:
     return found.repartition(partitions, "bucket").mapInArrow(run, OUT)
 
 
-def transform(units: DataFrame, partitions: int) -> DataFrame:
-    """(doc, th, lo, run) of repeats among different contexts (key, doc, th, lo, body), anchor by anchor."""
-
-    def solve(rows):
-        rows.sort(key=lambda r: (r[1], r[2], r[3]))
-        data = np.frombuffer(b"\xfe".join([*(r[4] for r in rows), b""]) + b"\xff", np.uint8)
-        lengths = np.array([len(r[4]) for r in rows])
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        valid = np.zeros(len(data), bool)
-        for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-            valid[s : s + n - LENGTH + 1] = True
-        at = np.flatnonzero(later_windows(data, valid, LENGTH))
-        if not len(at):
-            return None
-        which = np.searchsorted(starts, at, side="right") - 1
-        first = _groups(which, at - np.arange(len(at)))
-        last = np.append(first[1:], True)
-        who = which[first]
-        lo = at[first] - starts[who] + np.array([rows[i][3] for i in who])
-        columns = [pa.array([rows[i][1] for i in who], pa.int64()), pa.array([rows[i][2] for i in who], pa.int64()), pa.array(lo), pa.array((at[last] - at[first]).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "th", "lo", "run"])
+#: What is cut out of texts: the bytes of contexts (UNIT), or windows by their hash (WINDOW, no body).
+CUT = "what int, key long, ctx long, doc long, th long, lo long, body binary"
+
+
+def cut_out(wanted: DataFrame) -> DataFrame:
+    """CUT rows of texts (doc, th, text, wanted: what, key, lo, run)."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in CUT.split(", ")]
 
     def run(batches):
-        rows, size = [], 0
+        out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= UNIT_BYTES and row[0] != rows[-1][0]:
-                    done = solve(rows)
-                    if done is not None:
-                        yield done
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-        if rows:
-            done = solve(rows)
-            if done is not None:
-                yield done
-
-    return units.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, th long, lo long, run int")
+            for doc, th, text, asked in zip(*(batch.column(i) for i in range(4)), strict=True):
+                data, doc, th = np.frombuffer(text.as_buffer(), np.uint8), doc.as_py(), th.as_py()
+                for x in asked.as_py():
+                    lo, n = x["lo"], x["run"]
+                    if x["what"] == UNIT:
+                        out.append((UNIT, x["key"], 0, doc, th, lo, data[lo : lo + n + LENGTH].tobytes()))
+                    else:
+                        w = windows_of(data, doc, th, lo, n)
+                        out += zip(itertools.repeat(WINDOW), w["key"].view("<i8").tolist() if w["key"].flags.c_contiguous else w["key"].copy().view("<i8").tolist(), w["ctx"].copy().view("<i8").tolist(), w["doc"].tolist(), w["th"].tolist(), w["lo"].tolist(), itertools.repeat(None))
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return wanted.mapInArrow(run, CUT)
+
+
+def _same_bytes(rows: list[tuple]):
+    """(doc, th, lo, run) lists of the windows in contexts `rows` (CUT) that begin earlier in the order of places."""
+    rows.sort(key=lambda r: (r[3], r[4], r[5]))
+    data = np.frombuffer(b"\xfe".join([*(r[6] for r in rows), b""]) + b"\xff", np.uint8)
+    lengths = np.array([len(r[6]) for r in rows])
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    inside = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    valid = inside + LENGTH <= np.repeat(lengths, np.diff(np.append(starts, len(data))))
+    at = np.flatnonzero(later_windows(data, valid, LENGTH))
+    if not len(at):
+        return [], [], [], []
+    which = np.searchsorted(starts, at, side="right") - 1
+    first = _groups(which, at - np.arange(len(at)))
+    who = which[first].tolist()
+    lo = at[first] - starts[who] + np.array([rows[i][5] for i in who])
+    return [rows[i][3] for i in who], [rows[i][4] for i in who], lo.tolist(), (at[np.append(first[1:], True)] - at[first]).tolist()
 
 
-def _cut_out(partitions: int, with_text: DataFrame) -> DataFrame:
-    """(what, key, ctx, doc, th, lo, body): the bytes of contexts, and the windows of those to be taken one by one."""
+def transform(cut: DataFrame, partitions: int) -> DataFrame:
+    """(doc, th, lo, run) of repeats: contexts anchor by anchor through the transform, windows by their hashes."""
 
     def run(batches):
+        rows: list[tuple] = []
+        window, earliest, size = None, None, 0
+        out: tuple[list, ...] = ([], [], [], [])
+
+        def done():
+            nonlocal rows, size
+            if len(rows) > 1:
+                for column, more in zip(out, _same_bytes(rows), strict=True):
+                    column += more
+            rows, size = [], 0
+
+        def batch_of():
+            columns = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            for c in out:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "th", "lo", "run"])
+
         for batch in batches:
-            out = []
-            for doc, th, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
-                data, doc, th = (text.as_py() or "").encode(), doc.as_py(), th.as_py()
-                for x in wanted.as_py():
-                    lo, run_ = x["lo"], x["run"]
-                    if x["what"] == UNIT:
-                        out.append((UNIT, x["key"], 0, doc, th, lo, data[lo : lo + run_ + LENGTH]))
-                    else:
-                        e = np.zeros(1, ENTRY)
-                        e["doc"], e["th"], e["lo"], e["run"] = doc, th, lo, run_
-                        for w in windows_of({(doc, th): data}, e):
-                            out.append((WINDOW, int(w["key"].view("<i8")), int(w["ctx"].view("<i8")), doc, th, int(w["lo"]), None))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            for at in range(0, len(out), 20_000):
-                part = out[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=["what", "key", "ctx", "doc", "th", "lo", "body"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                what, key, ctx, doc, th, lo, body = row
+                if what == WINDOW:  # sorted by hash and place: the first of a hash is the earliest
+                    place = (doc, th, lo)
+                    if window != (key, ctx):
+                        window, earliest = (key, ctx), place
+                    elif place != earliest:
+                        for column, x in zip(out, (*place, 0), strict=True):
+                            column.append(x)
+                    continue
+                if size >= UNIT_BYTES and key != rows[-1][1]:
+                    done()
+                rows.append(row)
+                size += len(body)
+            if len(out[0]) > 20_000:
+                yield batch_of()
+        done()
+        yield batch_of()
 
-    return with_text.mapInArrow(run, "what int, key long, ctx long, doc long, th long, lo long, body binary")
+    ordered = cut.repartition(partitions, "what", "key", "ctx").sortWithinPartitions("what", "key", "ctx", "doc", "th", "lo")
+    return ordered.mapInArrow(run, "doc long, th long, lo long, run int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, lo, run): runs of windows, run + 1 of them from byte lo on, that also begin earlier; docs has doc, th and text."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS_PER_PARTITION * partitions
-    shared_dir(spark)
-    met = written(meet(scan(docs.select("doc", "text"), buckets), partitions), "met")
+    met = written(meet(scan(docs.select("doc", "th", "text"), BUCKETS_PER_PARTITION * partitions), partitions), "met", "what")
     wanted = met.where(F.col("what").isin(UNIT, CONTEXT)).groupBy("doc", "th").agg(F.collect_list(F.struct("what", "key", "lo", "run")).alias("wanted"))
-    # rows of one document that are repeated would give their contexts twice, which is harmless
-    cut = written(_cut_out(partitions, docs.join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted")), "cut")
-    found = transform(cut.where(F.col("what") == UNIT).select("key", "doc", "th", "lo", "body"), partitions)
-    one_by_one = cut.where(F.col("what") == WINDOW).select("key", "ctx", "doc", "th", "lo").unionByName(met.where(F.col("what") == WINDOW).select("key", "ctx", "doc", "th", "lo")).distinct()
-    rank = F.row_number().over(Window.partitionBy("key", "ctx").orderBy("doc", "th", "lo"))
-    singles = one_by_one.withColumn("rank", rank).where("rank > 1").select("doc", "th", "lo", F.lit(0).alias("run"))
-    return met.where(F.col("what") == MARK).select("doc", "th", "lo", "run").unionByName(found).unionByName(singles)
+    # rows of one document that are repeated give their contexts twice, which is harmless: they have one place
+    cut = cut_out(docs.join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted"))
+    singles = met.where(F.col("what") == WINDOW).select("what", "key", "ctx", "doc", "th", "lo", F.lit(None).cast("binary").alias("body"))
+    found = transform(cut.unionByName(singles), partitions)
+    return met.where(F.col("what") == MARK).select("doc", "th", "lo", "run").unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,9 +380,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null doc_id comes before all others. An empty table gives an empty result, other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
-    with_hash = read.mapInArrow(_with_text_hash, "doc_id long, doc long, text string, th long")
-    spans = repeated_spans(with_hash.select("doc", "th", "text"))
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    # both joins with the texts deal them out in the same way, so that Spark does it once
+    with_hash = docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), text.alias("text"))
+    spans = repeated_spans(with_hash)
     per_doc = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "run")).alias("spans"))
 
     def run(batches):
@@ -391,12 +407,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
 
 
-def _with_text_hash(batches):
-    for batch in batches:
-        th = [xxhash.xxh32_intdigest((t.as_py() or "").encode()) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(th, pa.int64())], names=["doc_id", "doc", "text", "th"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
