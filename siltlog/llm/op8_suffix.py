@@ -365,7 +365,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     met = written(meet(scan(docs.select("doc", "th", "text"), BUCKETS_PER_PARTITION * partitions), partitions), "met", "what")
     wanted = met.where(F.col("what").isin(UNIT, CONTEXT)).groupBy("doc", "th").agg(F.collect_list(F.struct("what", "key", "lo", "run")).alias("wanted"))
     # rows of one document that are repeated give their contexts twice, which is harmless: they have one place
-    cut = cut_out(docs.join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted"))
+    # all columns are carried along: the texts are then dealt out just as for the caller's own join, once for both
+    cut = cut_out(docs.join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted", *(c for c in docs.columns if c not in ("doc", "th", "text"))))
     singles = met.where(F.col("what") == WINDOW).select("what", "key", "ctx", "doc", "th", "lo", F.lit(None).cast("binary").alias("body"))
     found = transform(cut.unionByName(singles), partitions)
     return met.where(F.col("what") == MARK).select("doc", "th", "lo", "run").unionByName(found)
