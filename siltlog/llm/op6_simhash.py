@@ -212,7 +212,7 @@ NEAR = Near()
 #: For corpora: five-word shingles, similarity 0.8. 512 bits tell a similarity to about 0.04, so the slack is over four deviations.
 CORPUS = {"words": 5, "bits": 512, "near": Near(similarity=0.8, slack=0.18)}
 #: Documents of a loose component that are checked exactly with each other at a time; larger components are cut into pairs of such parts.
-PART = 256
+PART = 128
 #: Shingles that are counted at a time.
 COLUMNS = 4096
 
@@ -255,10 +255,15 @@ def checked_links(docs: DataFrame, different: DataFrame, loose: DataFrame, words
 
     sets = texts.mapInArrow(hashed, "root string, parts int, fingerprint string, hashes binary")
     part = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    units = sets.withColumn("a", part).withColumn("b", other).select("root", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "fingerprint", "hashes")
+    tiles = sets.withColumn("part", part).groupBy("root", "parts", "part").agg(F.collect_list("fingerprint").alias("prints"), F.collect_list("hashes").alias("hashes"))
+    tiles = written(tiles, "shingles")
+    here = tiles.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1)))
+    there = tiles.select("root", F.col("part").alias("other"), F.col("prints").alias("more_prints"), F.col("hashes").alias("more_hashes"))
+    pairs = here.join(there, ["root", "other"]).select("prints", "hashes", F.when(F.col("part") != F.col("other"), F.col("more_prints")).alias("more_prints"), "more_hashes")
 
     def solve(prints, sets):
+        if len(prints) < 2:
+            return []
         group = np.arange(len(prints))
         links = []
         near = similar_pairs(sets, similarity)
@@ -270,20 +275,15 @@ def checked_links(docs: DataFrame, different: DataFrame, loose: DataFrame, words
         return links
 
     def run(batches):
-        unit, held = None, {}
-        out: list[tuple] = []
         for batch in batches:
-            for root, i, j, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, i, j) != unit:
-                    if len(held) > 1:
-                        out += solve(list(held), list(held.values()))
-                    unit, held = (root, i, j), {}
-                held[fp] = np.frombuffer(hashes, np.uint64)
-        if len(held) > 1:
-            out += solve(list(held), list(held.values()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["u", "v"])
-
-    return units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "u string, v string")
+            out: list[tuple] = []
+            for prints, hashes, more_prints, more_hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if more_prints:
+                    prints, hashes = prints + more_prints, hashes + more_hashes
+                out += solve(prints, [np.frombuffer(h, np.uint64) for h in hashes])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["u", "v"])
+
+    return pairs.mapInArrow(run, "u string, v string")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, bits: int = 64, near: Near = NEAR, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
