@@ -109,3 +109,10 @@ def test_stream_restarts_and_replicates(spark, tmp_path):
     seen = []
     ingest.live_counts(ingest.log_stream(spark, primary), lambda df, _: seen.extend(df.collect()), f"file://{tmp_path}/c3").awaitTermination()
     assert {r["key"]: r["value"] for r in seen if not r["deleted"]} == {r["key"]: r["value"] for r in state.live(mutations.entries(a)).collect()}
+
+
+def test_command_line():
+    from siltlog.__main__ import config, parser
+
+    made = config(parser().parse_args(["--path", "p", "--sync=always", "--memtable-bytes", "9", "--no-compaction", "--replica"]))
+    assert made == StoreConfig(memtable_bytes=9, sync="always", compact=False, read_only=True)
