@@ -25,7 +25,7 @@ NAME = "op6_simhash"
 #: Stands for a null doc_id where one has to be compared.
 NO_ID = -(1 << 63)
 #: Fingerprints in a tile; a fuller population class is dealt over several tiles.
-TILE = 2048
+TILE = 4096
 #: Rows of a tile compared at a time.
 BLOCK = 256
 #: Shingles whose bits are counted at a time.
@@ -155,11 +155,12 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
     radius = bits if size_ratio else near.radius
     parts = 4 if radius <= 4 else 1
     width = bits // parts // 4  # hex digits
+    # a radius that wide leaves nothing to prune by populations: sizes alone do
     count = lambda i: sum(
         F.bit_count(F.conv(F.substring("fingerprint", i * width + at + 1, min(8, width - at)), 16, 10).cast("long")) for at in range(0, width, 8)
     )
     bucket = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(-math.log(size_ratio)) + 1e-9).cast("int") if size_ratio else F.lit(0)
-    keyed = prints.select("fingerprint", "size", *(count(i).cast("int").alias(f"k{i}") for i in range(parts)), bucket.alias("k9"))
+    keyed = prints.select("fingerprint", "size", *((count(i).cast("int") if parts > 1 else F.lit(0)).alias(f"k{i}") for i in range(parts)), bucket.alias("k9"))
     keys = [f"k{i}" for i in range(parts)] + ["k9"]
     # at most (bits / parts + 1) ** parts population classes for each size bucket, of which there are under 200
     classes = keyed.groupBy(keys).count().select(*keys, F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
@@ -167,21 +168,15 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
         keyed.join(classes, keys)
         .withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int"))
         .groupBy(*keys, "tile")
-        .agg(F.collect_list("fingerprint").alias("prints"), F.collect_list("size").alias("sizes")),
+        .agg(F.collect_list(F.unhex("fingerprint")).alias("prints"), F.collect_list("size").alias("sizes")),
         "tiles",
     )
-    most = [radius if parts > 1 else bits] * parts
-    if parts > 1:
-        steps = [d for d in itertools.product(*(range(-m, m + 1) for m in most)) if sum(map(abs, d)) <= radius]
-    else:
-        steps = [(0,)]
-        tiles = tiles.withColumn("k0", F.lit(0))  # a radius that wide prunes by sizes only, and pair by pair
+    steps = [d for d in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius] if parts > 1 else [(0,)]
     steps = [(*d, s) for d in steps for s in ((-1, 0, 1) if size_ratio else (0,))]
     steps = [d for d in steps if d >= (0,) * len(d)]  # one of each pair of opposite steps, and none at all
     here = tiles.withColumn("step", F.explode(F.array(*(F.struct(*(F.lit(x).alias(k) for x, k in zip(d, keys, strict=True))) for d in steps))))
     here = here.select(
         *((F.col(k) + F.col(f"step.{k}")).alias(k) for k in keys),
-        F.xxhash64(*keys, "tile").alias("a_tile"),
         F.struct(*keys, "tile").alias("a_at"),
         F.array_max(F.transform(F.array(*(F.col(f"step.{k}") for k in keys)), F.abs)).alias("moved"),
         F.col("prints").alias("a"),
@@ -196,13 +191,13 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
             u, v = [], []
             for i in range(batch.num_rows):
                 a, b = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                words = lambda x: np.frombuffer(bytes.fromhex("".join(x)), ">u8").astype(np.uint64).reshape(len(x), -1)
+                words = lambda x: np.frombuffer(b"".join(x), ">u8").astype(np.uint64).reshape(len(x), -1)
                 sizes = [np.array(batch.column(k)[i].as_py(), np.int64) for k in (1, 3)]
                 both = a + b
                 for x, y in _forest(words(a), words(b), *sizes, near):
                     if both[x] != both[y]:
-                        u.append(both[x])
-                        v.append(both[y])
+                        u.append(both[x].hex())
+                        v.append(both[y].hex())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], names=["u", "v"])
 
     return pairs.mapInArrow(run, "u string, v string")
