@@ -74,16 +74,20 @@ def fingerprint(parts: list[bytes], bits: int = 64, seed: int = 42) -> np.ndarra
     return np.packbits(2 * counts > len(parts)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (XXH64 of the text), fingerprint (lowercase hex) and size (different shingles) of each whole text; null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, seed: int = 42, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (XXH64 of the text), fingerprint (lowercase hex) and size (different shingles) of each whole text; null texts count as empty.
+
+    With `distinct` each different shingle votes once, so that the bits tell of the sets that similarities are taken of.
+    """
 
     def run(batches):
         for batch in batches:
             prints, sizes = [], []
             for t in batch.column(2):
                 parts = shingles(t.as_py(), words)
-                prints.append(fingerprint(parts, bits, seed).astype(">u8").tobytes().hex())
-                sizes.append(len(set(parts)))
+                different = list(dict.fromkeys(parts))
+                prints.append(fingerprint(different if distinct else parts, bits, seed).astype(">u8").tobytes().hex())
+                sizes.append(len(different))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.string()), pa.array(sizes, pa.int32())], names=["doc_id", "th", "fingerprint", "size"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -290,7 +294,7 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 64, near: Ne
     besides id and text are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    prints = written(fingerprints(docs, words, bits, seed), "prints")
+    prints = written(fingerprints(docs, words, bits, seed, distinct=bool(near.similarity)), "prints")
     # sizes of texts with equal fingerprints agree but for hash collisions; the largest speaks for them
     one = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th"))
     different = written(prints.groupBy("fingerprint").agg(F.max("size").alias("size"), F.min("doc_id").alias("low"), one.alias("of")), "different")

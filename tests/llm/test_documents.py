@@ -206,6 +206,23 @@ def test_one_of_each_near_copy(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(10 * i + k for i in range(25) for k in (0, 5))
 
 
+def new_words(rnd, n):
+    return ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+def kept_ids(spark, rows):
+    return sorted(r["doc_id"] for r in op6_simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_near_copies_that_repeat_a_line_more_often(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(12):  # nearly the same different shingles, once and 10 times
+        body, line = new_words(rnd, 200), new_words(rnd, 19)
+        rows += [(2 * i, " ".join(body + line)), (2 * i + 1, " ".join(body + line * 10))]
+    assert kept_ids(spark, rows) == [2 * i for i in range(12)]
+
+
 # secrets
 
 BASE = [
