@@ -74,10 +74,16 @@ def fingerprint(parts: list[bytes], bits: int = 64, seed: int = 42) -> np.ndarra
     return np.packbits(2 * counts > len(parts)).view(">u8").astype(np.uint64)
 
 
+def _hashes(parts: list[bytes]) -> np.ndarray:
+    """The different hashes of shingles, in order."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p) for p in parts), np.uint64))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, seed: int = 42, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (XXH64 of the text), fingerprint (lowercase hex) and size (different shingles) of each whole text; null texts count as empty.
 
-    With `distinct` each different shingle votes once, so that the bits tell of the sets that similarities are taken of.
+    With `distinct` each different shingle votes once, so that the bits tell of the sets that similarities are taken of,
+    and 128 bits of a hash of the set follow the fingerprint: different sets under one fingerprint stay apart.
     """
 
     def run(batches):
@@ -86,7 +92,8 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, seed: int = 42
             for t in batch.column(2):
                 parts = shingles(t.as_py(), words)
                 different = list(dict.fromkeys(parts))
-                prints.append(fingerprint(different if distinct else parts, bits, seed).astype(">u8").tobytes().hex())
+                print_ = fingerprint(different if distinct else parts, bits, seed).astype(">u8").tobytes().hex()
+                prints.append(print_ + xxhash.xxh3_128_hexdigest(_hashes(different).tobytes()) if distinct else print_)
                 sizes.append(len(different))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.string()), pa.array(sizes, pa.int32())], names=["doc_id", "th", "fingerprint", "size"])
 
@@ -151,7 +158,7 @@ def _forest(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarr
 def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
     """(u, v): links between different fingerprints as `near` says, enough of them for the components.
 
-    prints: fingerprint and size, one row for each fingerprint. All pairs that can link are compared, whatever the
+    prints: fingerprint and size, one row for each fingerprint; digits beyond `bits` tell equal fingerprints apart. All pairs that can link are compared, whatever the
     number of fingerprints. A small radius prunes by the population counts of four parts of the fingerprint; with a
     similarity, sizes within its ratio are compared, as others can't come to it.
     """
@@ -195,7 +202,7 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
             u, v = [], []
             for i in range(batch.num_rows):
                 a, b = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                words = lambda x: np.frombuffer(b"".join(x), ">u8").astype(np.uint64).reshape(len(x), -1)
+                words = lambda x: np.frombuffer(b"".join(x), ">u8").astype(np.uint64).reshape(len(x), -1)[:, : bits // 64]
                 sizes = [np.array(batch.column(k)[i].as_py(), np.int64) for k in (1, 3)]
                 both = a + b
                 for x, y in _forest(words(a), words(b), *sizes, near):
@@ -249,7 +256,7 @@ def checked_links(docs: DataFrame, different: DataFrame, loose: DataFrame, words
 
     def hashed(batches):
         for batch in batches:
-            sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(p) for p in shingles(t.as_py(), words)), np.uint64)).tobytes() for t in batch.column(3)]
+            sets = [_hashes(shingles(t.as_py(), words)).tobytes() for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["root", "parts", "fingerprint", "hashes"])
 
     sets = texts.mapInArrow(hashed, "root string, parts int, fingerprint string, hashes binary")
@@ -289,13 +296,14 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 64, near: Ne
     """doc_id, fingerprint and component_id of every row: the smallest doc_id that links reach.
 
     Null and wordless texts have fingerprint zero, which links like any other. Equal fingerprints are compared once,
-    so groups of copies cost nothing. With a similarity the links that the fingerprints tell are checked exactly. A null doc_id is kept, counts for links, but names no component unless it is
+    so groups of copies cost nothing. With a similarity that goes for equal sets of shingles, and all links between
+    different sets, under one fingerprint too, are checked exactly. A null doc_id is kept, counts for links, but names no component unless it is
     alone there (then null). Repeated rows are kept, rows that share a doc_id link only by their fingerprints. Columns
     besides id and text are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     prints = written(fingerprints(docs, words, bits, seed, distinct=bool(near.similarity)), "prints")
-    # sizes of texts with equal fingerprints agree but for hash collisions; the largest speaks for them
+    # with a similarity, texts under one key have equal sets of shingles; else no size is asked for
     one = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th"))
     different = written(prints.groupBy("fingerprint").agg(F.max("size").alias("size"), F.min("doc_id").alias("low"), one.alias("of")), "different")
     roots = components(near_links(different, bits, near))
@@ -305,7 +313,7 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 64, near: Ne
     lows = lows.groupBy("root").agg(F.min("low").alias("lowest"))
     of = salted_join(roots, lows, "root", "node").select(F.col("node").alias("fingerprint"), "lowest")
     own = written(different.join(of, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "low").alias("component_id")), "component")
-    return salted_join(prints.drop("size", "th"), own, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
+    return salted_join(prints.drop("size", "th"), own, "fingerprint", "doc_id").select("doc_id", F.substring("fingerprint", 1, bits // 4).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

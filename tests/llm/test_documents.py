@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 import tiktoken
 import xxhash
@@ -223,6 +224,19 @@ def test_near_copies_that_repeat_a_line_more_often(spark):
     assert kept_ids(spark, rows) == [2 * i for i in range(12)]
 
 
+def test_different_sets_under_one_fingerprint(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(6):  # a filler line 40 times between different bodies, as in menus
+        line = new_words(rnd, 5)
+        rows += [(10 * i + k, " ".join(new_words(rnd, 100) + line * 40)) for k in range(4)]
+    assert kept_ids(spark, rows) == [r[0] for r in rows]
+    # even where the bits of all texts are the same, sets decide
+    monkeypatch.setattr(op6_simhash, "fingerprint", lambda parts, bits=64, seed=42: np.zeros(bits // 64, np.uint64))
+    same = new_words(rnd, 100)
+    assert kept_ids(spark, [(1, " ".join(same)), (2, " ".join(same + new_words(rnd, 2))), (3, " ".join(new_words(rnd, 101))), (4, " ".join(same * 2))]) == [1, 3]
+
+
 # secrets
 
 BASE = [
