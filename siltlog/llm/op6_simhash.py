@@ -8,6 +8,7 @@ its bits, and of the links found it keeps as many as hold the same fingerprints
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from dataclasses import dataclass
@@ -101,21 +102,56 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, seed: int = 42
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fingerprint string, size int")
 
 
+#: Up to so many shingles the chance that a bit differs is counted out, ties of even counts included; beyond, it is an angle.
+COUNTED = 64
+#: Pairs at the similarity differ in no more bits than are expected and so many deviations of that.
+DEVIATIONS = 6
+
+
+def _above_half(n: int, extra: int) -> np.ndarray:
+    """For k = 0..n - extra of the other shingles with a bit: the chance that over half of all n have it."""
+    ways = np.array([math.comb(extra, j) for j in range(extra + 1)], float) / 2.0**extra
+    return np.array([ways[max(0, n // 2 + 1 - k) :].sum() for k in range(n - extra + 1)])
+
+
+def differing(x: int, y: int, shared: int) -> float:
+    """The chance that a bit differs between sets of x and y shingles of which `shared` are the same."""
+    k = np.array([math.comb(shared, j) for j in range(shared + 1)], float) / 2.0**shared
+    a, b = _above_half(x, x - shared), _above_half(y, y - shared)
+    return float((k * (a * (1 - b) + b * (1 - a))).sum())
+
+
+@functools.lru_cache(maxsize=4)
+def _counted(similarity: float) -> np.ndarray:
+    """The largest chance of a differing bit for sets of x and y shingles, COUNTED at most, as similar as that; -1 if none are."""
+    out = np.full((COUNTED + 1, COUNTED + 1), -1.0)
+    out[0, 0] = 0
+    for x in range(1, COUNTED + 1):
+        for y in range(x, COUNTED + 1):
+            least = math.ceil(similarity * (x + y) / (1 + similarity) - 1e-9)
+            if least <= x:
+                out[x, y] = out[y, x] = max(differing(x, y, s) for s in range(least, x + 1))
+    return out
+
+
 @dataclass(frozen=True)
 class Near:
-    """Which fingerprints link: those of at most `radius` differing bits; or, with a similarity, those whose texts'
-    Jaccard similarity over shingles comes to it less the slack, as their bits tell: the part of the bits that differ
-    is the angle between two texts, its cosine gives the shingles they share, and with the texts' sizes the similarity
-    follows. Such links are candidates; an exact check of the shingles follows."""
+    """Which fingerprints link: those of at most `radius` differing bits; or, with a similarity, those whose bits may
+    belong to texts whose Jaccard similarity over shingles comes to it: the least number of shingles that two such texts
+    share follows from their sizes, the chance that a bit differs from that, and pairs within DEVIATIONS of it are
+    candidates. An exact check of the shingles follows."""
 
     radius: int = 2
     similarity: float = 0.0
-    #: How far below the similarity an estimate still is a candidate for the exact check.
-    slack: float = 0.0
 
-    @property
-    def least(self) -> float:
-        return self.similarity - self.slack
+    def chance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The largest chance of a differing bit for texts of x and y shingles that link; -1 if none of such sizes do."""
+        least = self.similarity * (x + y) / (1 + self.similarity)
+        angle = np.arccos(np.minimum(1, least / np.sqrt(np.maximum(x * y, 1)))) / math.pi
+        angle = np.where(least <= np.minimum(x, y) + 1e-9, angle, -1)
+        few = np.maximum(x, y) <= COUNTED
+        at = lambda n: np.where(few, n, 0).astype(np.int64)
+        return np.where(few, _counted(self.similarity)[at(x), at(y)], angle)
 
     def hits(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
         few = min(a.shape[1], 4)  # words that decide first
@@ -126,15 +162,15 @@ class Near:
             for k in range(few, a.shape[1]):
                 apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
             return apart <= self.radius
-        # six deviations of the estimate above the angle of the similarity
-        part = math.acos(2 * self.least / (1 + self.least)) / math.pi
-        hits = apart <= 64 * few * part + 6 * math.sqrt(64 * few * part * (1 - part))
+        most = lambda part, bits: bits * part + DEVIATIONS * np.sqrt(bits * part * (1 - part))
+        # the angle is widest between texts of one size
+        widest = max(_counted(self.similarity).max(), math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi)
+        hits = apart <= most(widest, 64 * few)
         rows, columns = np.nonzero(hits)
         if len(rows):
-            x, y = sizes_a[rows].astype(float), sizes_b[columns].astype(float)
+            part = self.chance(sizes_a[rows].astype(float), sizes_b[columns].astype(float))
             differ = np.bitwise_count(a[rows] ^ b[columns]).sum(axis=1, dtype=np.int64)
-            shared = np.cos(np.pi * differ / (64 * a.shape[1])) * np.sqrt(x * y)
-            hits[rows, columns] = (shared >= self.least * (x + y - shared)) | (differ == 0)
+            hits[rows, columns] = (part >= 0) & (differ <= most(np.maximum(part, 0), 64 * a.shape[1]))
         return hits
 
 
@@ -215,8 +251,8 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
 
 
 NEAR = Near()
-#: For corpora: five-word shingles, similarity 0.8. 512 bits tell a similarity to about 0.04, so the slack is over four deviations.
-CORPUS = {"words": 5, "bits": 512, "near": Near(similarity=0.8, slack=0.18)}
+#: For corpora: five-word shingles, similarity 0.8. 512 bits.
+CORPUS = {"words": 5, "bits": 512, "near": Near(similarity=0.8)}
 #: Documents of a loose component that are checked exactly with each other at a time; larger components are cut into pairs of such parts.
 PART = 128
 #: Shingles that are counted at a time.

@@ -237,6 +237,20 @@ def test_different_sets_under_one_fingerprint(spark, monkeypatch):
     assert kept_ids(spark, [(1, " ".join(same)), (2, " ".join(same + new_words(rnd, 2))), (3, " ".join(new_words(rnd, 101))), (4, " ".join(same * 2))]) == [1, 3]
 
 
+@pytest.mark.parametrize(("few", "more"), [(4, 5), (8, 10), (12, 15), (63, 64), (70, 87)])
+def test_short_texts_stay_candidates(few, more):
+    sets = [[b"%d %d" % (i, j) for j in range(more)] for i in range(600)]
+    a, b = (np.array([op6_simhash.fingerprint(s[:n], 512) for s in sets]) for n in (few, more))
+    hits = op6_simhash.CORPUS["near"].hits(a, b, np.full(600, few), np.full(600, more))
+    assert hits.diagonal().all()
+
+
+def test_chances_of_differing_bits():
+    # 4 and 5 shingles: 2 of 4 have the bit, and so has the fifth
+    assert op6_simhash.differing(4, 5, 4) == pytest.approx(6 / 16 / 2)
+    assert op6_simhash.differing(9, 9, 9) == 0 and op6_simhash.differing(1, 1, 0) == 0.5
+
+
 # secrets
 
 BASE = [
