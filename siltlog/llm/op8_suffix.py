@@ -32,7 +32,7 @@ STEP_BYTES = 1 << 20
 #: Buckets for each shuffle partition, so that hashing them to partitions comes out even.
 BUCKETS_PER_PARTITION = 16
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-ENTRY = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("lo", "<u4"), ("off", "u1"), ("run", "u1")])
+ENTRY = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("lo", "<u4"), ("off", "u1"), ("run", "u1")])
 CONTEXT, WINDOW, NOTICE, MARK = 0, 1, 2, 3
 
 
@@ -187,7 +187,7 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 
 def _place_hash(e: np.ndarray) -> np.ndarray:
-    return _mix(e["doc"].astype(np.uint64) * _ODD[0] + e["th"])
+    return _mix(e["doc"].astype(np.uint64) * _ODD[0] + e["th"].astype(np.uint64))
 
 
 def scan(docs: DataFrame, buckets: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _out(what: int, e: np.ndarray):
     for at in range(0, len(e), 50_000):
         x = e[at : at + 50_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(x), what, np.int32)), pa.array(x["key"].view("<i8") if x["key"].flags.c_contiguous else x["key"].copy().view("<i8")), pa.array(x["ctx"].copy().view("<i8")), pa.array(x["doc"].copy()), pa.array(x["th"].astype(np.int64)), pa.array(x["lo"].astype(np.int64)), pa.array(x["run"].astype(np.int32))],
+            [pa.array(np.full(len(x), what, np.int32)), pa.array(x["key"].view("<i8") if x["key"].flags.c_contiguous else x["key"].copy().view("<i8")), pa.array(x["ctx"].copy().view("<i8")), pa.array(x["doc"].copy()), pa.array(x["th"].copy()), pa.array(x["lo"].astype(np.int64)), pa.array(x["run"].astype(np.int32))],
             names=["what", "key", "ctx", "doc", "th", "lo", "run"],
         )
 
@@ -377,13 +377,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: at a smaller doc_id, or earlier in the same
     document; strings are those of the input and never cross documents. Null and short texts lose nothing. Rows that
-    share doc_id and text are one document and fare alike; texts that share a doc_id are ordered by a hash of them; a
+    share doc_id and text are one document and fare alike; texts that share a doc_id are told apart and ordered by 64 bits of a hash of them; a
     null doc_id comes before all others. An empty table gives an empty result, other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     place = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     # both joins with the texts deal them out in the same way, so that Spark does it once
-    with_hash = docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), text.alias("text"))
+    with_hash = docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = repeated_spans(with_hash)
     per_doc = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "run")).alias("spans"))
 

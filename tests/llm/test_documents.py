@@ -357,6 +357,18 @@ def test_repeats_in_odd_rows(spark):
     assert len({tuple(r)[1:] for r in got if r["doc_id"] == 3 and r["n_bytes"] > 10}) == 1
 
 
+def test_texts_of_one_short_hash_without_ids(spark):
+    passage = " ".join(f"passage{k:03d}" for k in range(14))
+    same_place = [f"{i:07d} {passage}" for i in (6996, 108496)]
+    short_and_long = [f"{i:07d}" if i % 2 else f"{i:07d} {passage} {passage[::-1]}" for i in (197475, 206624)]
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    for texts in (same_place, short_and_long):
+        assert len({signed(t) & 0xFFFFFFFF for t in texts}) == 1
+        docs = [(None, t) for t in sorted(texts, key=signed)] + [(1, passage[::-1] + "x")]
+        got = op8_suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == sorted(x[1:] for x in brute_removed(docs))
+
+
 # tokens
 
 
