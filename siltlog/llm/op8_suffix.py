@@ -2,11 +2,11 @@
 
 Every window of LENGTH bytes picks an anchor, the K bytes in it with the least hash, which depends on the window's
 bytes alone: equal windows have equal anchors. Neighbouring windows with one anchor make a context. Contexts meet by
-their anchor's hash; anchors that occur once are done. Equal contexts are settled by their hashes (128 bits with
-the anchor's): all windows of all but the first are repeats. Different contexts around one anchor go, with their bytes,
+the 64 bits of their anchor's hash; anchors that occur once are done. Among the contexts of an anchor equal ones are
+settled by another 64 bits, of both sums over the whole context: all windows of all but the first are repeats. Different contexts around one anchor go, with their bytes,
 through the interval expansion of `repeats`, which finds all windows that begin earlier. Where an anchor has very many
 different contexts, as at the edges of a passage in a large part of all documents, its windows meet one by one
-by their own hashes instead. Equal contexts of a task are settled before they are shuffled.
+by two independent hashes of 64 bits instead. Equal contexts of a task are settled before they are shuffled.
 """
 
 from __future__ import annotations
@@ -59,7 +59,14 @@ class Hashes:
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * _powers(base, n))]))
             self.inverse.append(_powers(pow(base, -1, 1 << 64), n))
 
+    def both(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits: a hash of each sum, which know nothing of each other."""
+        n = (high - low).astype(np.uint64) * _ODD[1]
+        a, b = (_mix(_mix((s[high] - s[low]) * inv[low]) + n) for s, inv in zip(self.sums, self.inverse, strict=True))
+        return a, b
+
     def of(self, low: np.ndarray, high: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+        """64 bits of both sums."""
         a, b = ((s[high] - s[low]) * inv[low] for s, inv in zip(self.sums, self.inverse, strict=True))
         return _mix(_mix(a) + b * _ODD[1] + np.asarray(seed).astype(np.uint64) * _ODD[0] + (high - low).astype(np.uint64))
 
@@ -142,11 +149,11 @@ def entries(data: np.ndarray, cuts: np.ndarray, docs: np.ndarray, ths: np.ndarra
 
 
 def windows_of(data: np.ndarray, doc: int, th: int, lo: int, run: int) -> np.ndarray:
-    """The windows lo..lo + run of a text, each as an entry whose key and ctx are the two halves of the window's hash."""
+    """The windows lo..lo + run of a text, each as an entry whose key and ctx are two independent hashes of the window."""
     at = np.arange(run + 1)
     hashes = Hashes(data[lo : lo + run + LENGTH])
     w = np.zeros(run + 1, ENTRY)
-    w["key"], w["ctx"] = hashes.of(at, at + LENGTH, 1), hashes.of(at, at + LENGTH, 2)
+    w["key"], w["ctx"] = hashes.both(at, at + LENGTH)
     w["doc"], w["th"], w["lo"] = doc, th, lo + at
     return w
 

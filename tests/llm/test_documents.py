@@ -369,6 +369,24 @@ def test_texts_of_one_short_hash_without_ids(spark):
         assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == sorted(x[1:] for x in brute_removed(docs))
 
 
+def test_window_hashes_are_independent(monkeypatch):
+    mixed = lambda x: int(op8_suffix._mix(np.array([x], np.uint64))[0])
+    odd, whole = int(op8_suffix._ODD[1]), 1 << 64
+    a, b = (5, 77), [123456789]
+    b.append((b[0] + (mixed(a[0]) - mixed(a[1])) * pow(odd, -1, whole)) % whole)  # mix(a) + b * odd agree, a and b don't
+
+    def init(self, data):
+        n = len(data)
+        self.inverse = [np.ones(n, np.uint64)] * 2
+        self.sums = [np.zeros(n + 1, np.uint64) for _ in "ab"]
+        for s, x in zip(self.sums, (a, b), strict=True):
+            s[op8_suffix.LENGTH :] = x
+
+    monkeypatch.setattr(op8_suffix.Hashes, "__init__", init)
+    w = op8_suffix.windows_of(np.zeros(op8_suffix.LENGTH + 1, np.uint8), 0, 0, 0, 1)
+    assert w["key"][0] != w["key"][1] and w["ctx"][0] != w["ctx"][1]
+
+
 # tokens
 
 
