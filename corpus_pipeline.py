@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.llm import op1_quality, op2_mix, op6_simhash, op7_secrets, op10_bpe
-from siltlog.llm.common import shared_dir, table
+from siltlog.llm.common import shared_dir, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +31,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes its words, rounded up or down by a seeded hash of its id with the
-    chance of the part that is left over, so that each source's words come near its target. Documents that the mix
-    takes no word of go; texts without words stay once.
+    """Each document comes as often as the mix takes its words, rounded up or down by a seeded hash of its id and its
+    place in the mix with the chance of the part that is left over, so that each source's words come near its target.
+    Documents that the mix takes no word of go; texts without words stay once. Each row has its own share, also among
+    rows without an id or of one id: rows are numbered in a written table, and the numbers go through the mix.
     """
-    mixed = op2_mix.mix(docs).select(F.col("doc_id").alias("_id"), "size", "taken")
-    part = op2_mix.hash32(op2_mix.SEED + 3, F.col("_id")) / float(1 << 32)
+    placed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "placed")
+    keyed = placed.withColumn("_text", F.xxhash64("text"))
+    mixed = op2_mix.mix(keyed, carry=("_text", "_row"))
+    part = op2_mix.hash32(op2_mix.SEED + 3, F.col("doc_id"), F.col("end")) / float(1 << 32)
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + part)).cast("int")
-    per_id = mixed.groupBy("_id").agg(F.max(times).alias("_times")).where("_times > 0")
-    found = docs.join(per_id, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    per_row = mixed.select("_row", times.alias("_times")).where("_times > 0")
+    found = placed.join(per_row, "_row")
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

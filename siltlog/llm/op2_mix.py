@@ -80,15 +80,16 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * flat, F.col("cap").cast("double")))).select("id_source", "source_null", "source_size", "target")
 
 
-def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row: the words of it that the mix takes.
 
     A null text has size 0 and gives nothing; a null source is a source of its own, the last; rows without doc_id or
     repeated rows are documents like others, in the order of equal hashes by id and size. An empty table gives an
     empty result; other columns are not read. Sources and shards are few (at most MOST_SHARDS beyond one for each
-    source); no window spans more than one shard's narrow rows.
+    source); no window spans more than one shard's narrow rows. Columns of `carry` come along with each row,
+    and then `end`, the words of its shard up to its own last one; rows of equal hash, id and size are in their order.
     """
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *carry)
     read = written(read.withColumns({"source_null": F.col("source").isNull(), "id_source": F.coalesce("source", F.lit(""))}), "sizes")
     by_source = ["source_null", "id_source"]
     sources = targets(read.groupBy(*by_source).agg(F.sum("size").alias("source_size")))
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_co
         "shift": F.pmod(hash32(seed + 1, F.col("id_source"), F.col("id_shard")), F.greatest("n_blocks", F.lit(1))),
     })
     per_shard = written(per_shard.select(*by_source, "id_shard", "shard_size", "n_blocks", "all", "extra", "shift"), "quotas")
-    along = Window.partitionBy(*by_source, "id_shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*by_source, "id_shard").orderBy("place", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("place", hash32(seed + 2, F.col("doc_id"))).withColumn("end", F.sum("size").over(along))
     placed = placed.join(per_shard, [*by_source, "id_shard"])
 
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_co
     begin = F.col("end") - F.col("size")
     taken = F.when(F.col("size") > 0, taken_before(F.col("end")) - taken_before(begin)).otherwise(0)
     limited = F.least(F.greatest(taken, F.lit(0)), MOST_REPEATS * F.col("size")).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", limited.alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", limited.alias("taken"), *carry, *(("end",) if carry else ()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

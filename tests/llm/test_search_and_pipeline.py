@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from siltlog.llm import op1_quality, op6_simhash, op7_secrets, op9_topk
+from siltlog.llm import op1_quality, op2_mix, op6_simhash, op7_secrets, op9_topk
 
 DATA = "/root/testdata/sf0.001"
 
@@ -79,3 +79,23 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     a, b = kept["tokens"]
     assert a.count() == b.count() and b.selectExpr("sum(n_bytes)").first() == a.selectExpr("sum(octet_length(text))").first()
     assert corpus_pipeline.run(spark, DATA).count() == b.count()
+
+
+def test_mixture_gives_each_source_its_target(spark):
+    rnd = random.Random(11)
+    text = lambda: " ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randrange(20, 60)))
+    rows = []
+    for k in range(900):  # a third without an id, a third sharing ids across sources
+        rows.append((None if k % 3 == 0 else k % 30 if k % 3 == 1 else k, text(), "abc"[k * 7 % 10 % 3], k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k long")
+    got = corpus_pipeline.mixture(spark, docs, DATA).collect()
+    target = {r["source"]: r["target"] for r in op2_mix.mix(docs).collect()}
+    texts, words, times = {k: (i, t, s) for i, t, s, k in rows}, dict.fromkeys("abc", 0), {}
+    for r in got:
+        assert texts[r["k"]] == (r["doc_id"], r["text"], r["source"])
+        words[r["source"]] += len(r["text"].split())
+        times[r["k"]] = times.get(r["k"], 0) + 1
+    assert max(times.values()) <= 2
+    assert all(abs(words[s] - target[s]) < 0.1 * target[s] for s in "abc"), (words, target)
+    # rows without an id differ in how often they come
+    assert len({times.get(k, 0) for k in range(0, 900, 3) if rows[k][2] == "b"}) > 1
