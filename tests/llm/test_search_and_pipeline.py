@@ -99,3 +99,36 @@ def test_mixture_gives_each_source_its_target(spark):
     assert all(abs(words[s] - target[s]) < 0.1 * target[s] for s in "abc"), (words, target)
     # rows without an id differ in how often they come
     assert len({times.get(k, 0) for k in range(0, 900, 3) if rows[k][2] == "b"}) > 1
+
+
+def brute_kept(rows, least=0.8):
+    """Ids that stay when texts of a Jaccard similarity of `least` over five-word shingles are joined, all pairs compared."""
+
+    def shingles(text):
+        w = text.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= least * len(a | b) - 1e-9 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    return sorted({g: min(i for (i, _), h in zip(rows, group, strict=True) if h == g) for g in group}.values())
+
+
+def test_one_of_each_equals_brute_force(spark):
+    rnd = random.Random(12)
+    words = lambda n: ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        body, line = words(rnd.randrange(60, 250)), words(rnd.randrange(5, 19))
+        texts += [body + line * k for k in (1, 5, 8)]  # repeated lines
+        texts += [body + words(rnd.randrange(60)) for _ in range(3)] + [words(10) + body[: len(body) * 9 // 10]]
+        texts += [words(rnd.randrange(20, 100)) + line * 40 for _ in range(3)]  # dominating lines
+    for _ in range(150):  # short texts, one word added or changed at an end
+        short = words(rnd.randrange(5, 13))
+        texts += [short, rnd.choice([short + words(1), words(1) + short, short[:-1] + words(1), short * 2])]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    kept = op6_simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(rows)
