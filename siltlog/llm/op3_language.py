@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ NAME = "op3_language"
 TEXTS_PER_LANGUAGE = 120
 #: Bytes of a language's dictionary at most, an equal part from each of its texts.
 DICTIONARY_BYTES = 48_000
+#: Places of a text that its part comes from, chosen with the seed.
+PIECES, SEED = 4, 42
 #: More different values than this in `lang` are an error: they would not be languages.
 MOST_LANGUAGES = 500
 LEVEL = 6
@@ -43,11 +46,28 @@ def folded(text: str) -> str:
     return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
+def pieces(data: bytes, size: int) -> bytes:
+    """size bytes of data, or all if it has no more: PIECES of them, each from a seeded place in its own stretch of data."""
+    if len(data) <= size:
+        return data
+    n = max(1, min(PIECES, size))
+    out = []
+    for k in range(n):
+        begin, end = len(data) * k // n, len(data) * (k + 1) // n
+        take = size * (k + 1) // n - size * k // n
+        at = begin + xxhash.xxh64_intdigest(data, SEED + k) % (end - begin - take + 1) if end - begin > take else begin
+        out.append(data[at : at + take])
+    return b"".join(out)
+
+
 def dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """An equal part of every text, from its beginning; zstandard finds what stands last most cheaply."""
-    parts = [folded(t) for t in texts]
-    each = max(1, size // max(1, len(parts)))
-    return b"".join(p.encode()[:each] for p in parts)[:size]
+    """An equal part of every text, from places all over it; what short texts leave over goes to the longer ones."""
+    parts = [folded(t).encode() for t in texts]
+    left, shares = size, [0] * len(parts)
+    for k, i in enumerate(sorted(range(len(parts)), key=lambda i: len(parts[i]))):
+        shares[i] = min(len(parts[i]), left // (len(parts) - k))
+        left -= shares[i]
+    return b"".join(pieces(p, n) for p, n in zip(parts, shares, strict=True))
 
 
 @dataclass(frozen=True)

@@ -97,3 +97,13 @@ def test_toxicity_features_and_calibration(spark):
     scored = op5_toxicity.with_score(with_odd_rows(spark), model).collect()
     assert len(scored) == len(ODD) and all(0 <= r["score"] <= 1 for r in scored)
     assert op5_toxicity.with_score(with_odd_rows(spark).limit(0), model).count() == 0
+
+
+def test_dictionaries_reach_all_over_texts():
+    opening = "permission is hereby granted to any person " * 20
+    texts = [opening + " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)) for i in range(40)]
+    made = op3_language.dictionary(texts, 16_000)
+    assert len(made) == 16_000 == len(op3_language.dictionary(["ab", *texts], 16_000)) and made == op3_language.dictionary(texts, 16_000)
+    assert made.count(b"permission is hereby") < 16_000 // 43 // 2  # from their beginnings it would be nothing else
+    assert len(op3_language.dictionary(["one two"], 100)) == len(" one two ")
+    assert op3_language.dictionary([], 100) == b""
