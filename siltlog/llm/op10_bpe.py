@@ -25,9 +25,9 @@ from siltlog.llm.common import table
 NAME = "op10_bpe"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries that a worker keeps in each of its caches of encoded pieces; a full cache is emptied, results are the same.
-CACHE = 150_000
-#: Prefixes of pieces of up to so many bytes are kept for later pieces.
-KNOWN = 32
+CACHE = 300_000
+#: Pieces of up to so many characters are kept for later ones, so that the cache is bounded in bytes too.
+KNOWN = 48
 #: Bytes of text in a batch of results.
 BATCH_BYTES = 4_000_000
 
@@ -64,8 +64,6 @@ class Vocabulary:
         self.joined: dict[tuple[int, int], int | None] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.fits: dict[int, bool] = {}
-        #: The last token of prefixes that were met before, of any piece.
-        self.ends: dict[bytes, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -126,6 +124,29 @@ class Vocabulary:
             else:
                 limit, a = a, a2
 
+    def end(self, p: bytes, i: int, last: list[int]) -> int:
+        """The last token of p[:i + 1], from the last tokens of all shorter prefixes."""
+        step, token_at, fits = self.trie.get, self.token_at, self.fits.get
+        node = 0
+        for j in range(i, -1, -1):
+            node = step(node << 8 | p[j])
+            if node is None:
+                break
+            t = token_at[node]
+            if t < 0:
+                continue
+            if not j:
+                if self.split(t) is not None:
+                    return t
+                break
+            before = last[j - 1]
+            ok = fits(before << 32 | t)
+            if ok is None:
+                ok = self.adjacent(before, t)
+            if ok:
+                return t
+        raise ValueError(f"no token ends {p[: i + 1]!r}: the vocabulary lacks single bytes")
+
 
 class PrefixTable:
     """The last token of every prefix of a byte string, which may grow or be edited."""
@@ -147,34 +168,9 @@ class PrefixTable:
         return self
 
     def _fill(self) -> None:
-        v, p, last = self.vocabulary, self.piece, self.last
-        step, token_at, fits, ends = v.trie.get, v.token_at, v.fits.get, v.ends
-        if len(ends) > 3 * CACHE:
-            ends.clear()
-        known = len(p) <= KNOWN
-        for i in range(len(last), len(p)):
-            t = ends.get(p[: i + 1]) if known else None
-            if t is None:
-                node = 0
-                for j in range(i, -1, -1):
-                    node = step(node << 8 | p[j])
-                    if node is None:
-                        raise ValueError(f"no token ends {p[: i + 1]!r}: the vocabulary lacks single bytes")
-                    t = token_at[node]
-                    if t < 0:
-                        continue
-                    if j:
-                        before = last[j - 1]
-                        ok = fits(before << 32 | t)
-                        if ok is None:
-                            ok = v.adjacent(before, t)
-                        if ok:
-                            break
-                    elif v.split(t) is not None:
-                        break
-                if known:
-                    ends[p[: i + 1]] = t
-            last.append(t)
+        piece, last, end = self.piece, self.last, self.vocabulary.end
+        for i in range(len(last), len(piece)):
+            last.append(end(piece, i, last))
 
     def tokens(self) -> list[int]:
         out, i, lengths = [], len(self.piece), self.vocabulary.bytes_of
@@ -190,35 +186,37 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
-        #: Words as met lately, and as met before that.
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: The ids of pieces as bytes, of those met lately and of those before.
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, s: str) -> list[int]:
         b = s.encode()
         whole = self.vocabulary.ranks.get(b)
         return [whole] if whole is not None else PrefixTable(self.vocabulary, b).tokens()
 
-    def _word(self, w: str) -> tuple[int, ...]:
-        found = self.older.get(w)
+    def _met(self, s: str) -> bytes:
+        found = self.pieces.get(s)
         if found is None:
-            found = tuple(itertools.chain.from_iterable(map(self.piece, self.split(" " + w))))
-        if len(self.words) >= CACHE:
-            self.words, self.older = {}, self.words
-        self.words[w] = found
+            found = self.older.get(s)
+            if found is None:
+                found = np.array(self.piece(s), np.int32).tobytes()
+            if len(s) <= KNOWN:
+                if len(self.pieces) >= CACHE:
+                    self.pieces, self.older = {}, self.pieces
+                self.pieces[s] = found
         return found
 
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
+        pieces = self.split(text)
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            found = [self._met(s) if ids is None else ids for s, ids in zip(pieces, found, strict=True)]
+        return b"".join(found)
+
     def encode(self, text: str) -> list[int]:
-        """The ids of a text. No piece crosses a lone space between two characters that aren't white space, so such
-        a text is cut there first and whole words are looked up; any other text is split as it is."""
-        first, *rest = text.split(" ")
-        if not text or text[0].isspace() or text[-1].isspace() or not all(rest) or any(w[0].isspace() or w[-1].isspace() for w in rest) or first and first[-1].isspace():
-            return list(itertools.chain.from_iterable(map(self.piece, self.split(text))))
-        out = list(itertools.chain.from_iterable(map(self.piece, self.split(first))))
-        for w in rest:
-            ids = self.words.get(w)
-            out += self._word(w) if ids is None else ids
-        return out
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -242,16 +240,19 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches):
         c = codec(path, pattern)
+        text = ids = decoded = None
         for batch in batches:
             ids_of, texts = batch.column(0), batch.column(1)
             out: tuple[list, list, list] = ([], [], [])
             held = 0
             for i in range(len(texts)):
-                ids = c.encode(texts[i].as_py() or "")
-                out[0].append(ids_of[i].as_py())
-                out[1].append(np.array(ids, dtype=np.int32))
-                out[2].append(c.decode(out[1][-1].tolist()))
-                held += len(out[2][-1])
+                now = texts[i].as_py() or ""
+                if now != text:  # copies that follow each other are encoded and decoded once
+                    text, ids = now, c.encoded(now)
+                    decoded = c.decode(np.frombuffer(ids, np.int32).tolist())
+                for column, x in zip(out, (ids_of[i].as_py(), ids, decoded), strict=True):
+                    column.append(x)
+                held += len(decoded)
                 if held >= BATCH_BYTES:
                     yield _batch(out)
                     out, held = ([], [], []), 0
@@ -262,8 +263,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
 
 def _batch(out) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in out[1]])]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out[1]) if out[1] else np.zeros(0, np.int32)))
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out[1]])]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out[1]), np.int32)))
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), ids, pa.array(out[2], pa.binary())], names=["doc_id", "ids", "decoded"])
 
 
