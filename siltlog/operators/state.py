@@ -56,10 +56,14 @@ def in_range(entries: DataFrame, start: str | None = None, end: str | None = Non
     return entries
 
 
-def range_scan(entries: DataFrame, start: str | None, end: str | None, limit: int | None = None) -> DataFrame:
-    """Live (key, value) pairs from start to end in ascending key order, the first `limit` of them.
+def range_scan(entries: DataFrame, start: str | None, end: str | None, limit: int | None = None, after: str | None = None) -> DataFrame:
+    """Live (key, value) pairs from start to end in ascending key order, the first `limit` of them, behind `after` only.
 
-    The range is applied below the last writer, the limit above the tombstones. Start behind end gives nothing.
+    The range is applied below the last writer, the limit above the tombstones. Start behind end gives nothing. For
+    the next page `after` is the last key of the page before.
     """
-    found = live(in_range(entries, start, end)).orderBy(sort_key(F.col("key")))
+    entries = in_range(entries, start, end)
+    if after is not None:
+        entries = in_range(entries, after).where(F.col("key") != after)
+    found = live(entries).orderBy(sort_key(F.col("key")))
     return found if limit is None else found.limit(limit)

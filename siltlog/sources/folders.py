@@ -6,19 +6,32 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset a local session gets a temporary one."""
+def work_dir(spark: SparkSession, name: str, keep: bool = True) -> str:
+    """A new folder name under spark.checkpoint.dir; where that is unset a local session gets a temporary one. It goes
+    when the session's file systems close, unless it is to be kept."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        # local-cluster has executors of its own
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = "file://" + tempfile.mkdtemp(prefix="siltlog-", dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df from a table in a work folder: they are made once, and stay the same whenever they are read again."""
+    path = work_dir(df.sparkSession, name, keep=False)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Folder:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
 MOST_BYTES = 10 * 1024 * 1024
@@ -64,6 +64,10 @@ def answer(store, method: str, target: str, raw: bytes = b"", replication=None)
                 body = json.loads(raw)
             except ValueError as e:
                 raise Refused(500, "the body is not JSON") from e
+            if body is None:
+                raise Refused(500, "the body is null")
+            if not isinstance(body, dict):
+                raise Refused(400, "the body is not an object")
             if url.path == "/batch-put":
                 return 200, {"success": True, "count": store.batch_put(pairs_of(body))}
             if not isinstance(body.get("key"), str) or not body["key"] or body.get("value") is None:
@@ -83,7 +87,8 @@ def answer(store, method: str, target: str, raw: bytes = b"", replication=None)
         if method == "GET" and url.path == "/range":
             if not query.get("start") or not query.get("end"):
                 raise Refused(400, "start and end are needed")
-            rows = store.range(query["start"], query["end"], limit_of(query.get("limit"))).collect()
+            # `after` asks for the next page: keys behind the last one of the page before
+            rows = store.range(query["start"], query["end"], limit_of(query.get("limit")), query.get("after")).collect()
             return 200, {"count": len(rows), "results": [{"key": r["key"], "value": r["value"]} for r in rows]}
         raise Refused(404, "no such route")
     except Refused as e:
@@ -94,8 +99,8 @@ def answer(store, method: str, target: str, raw: bytes = b"", replication=None)
         return 403, {"error": str(e)}
 
 
-def serve(store, port: int = 0, replication=None) -> HTTPServer:
-    """A server for the store; call serve_forever() on it."""
+def serve(store, port: int = 0, replication=None) -> ThreadingHTTPServer:
+    """A server for the store; call serve_forever() on it. Requests run side by side, so their writes share a commit."""
 
     class Handler(BaseHTTPRequestHandler):
         def _do(self):
@@ -113,4 +118,4 @@ def serve(store, port: int = 0, replication=None) -> HTTPServer:
         def log_message(self, *_):
             return
 
-    return HTTPServer(("127.0.0.1", port), Handler)
+    return ThreadingHTTPServer(("127.0.0.1", port), Handler)

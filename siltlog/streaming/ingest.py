@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltlog.operators.mutations import LOG_SCHEMA
 from siltlog.sources.folders import work_dir
 from siltlog.sources.tables import log_of
+from siltlog.store import Store
 
 
 def into_log(stream: DataFrame, log_dir: str, checkpoint: str, every: str | None = None):
@@ -46,11 +47,37 @@ def replicate(spark: SparkSession, primary_dir: str, replica_dir: str, checkpoin
     return into_log(log_stream(spark, primary_dir), replica_dir, checkpoint, every)
 
 
+def catch_up(primary: Store, replica: Store, name: str = "replica") -> int:
+    """Applies to a replica what its primary's durable log holds behind the replica's position; the number of records.
+
+    The position is kept in the replica's own log, so nothing is applied twice or left out, whoever is restarted. The
+    primary keeps its log as far back as the follower of that name has come. A replica that has nothing yet gets the
+    primary's runs too.
+    """
+    replica.follow(primary.identity())
+    records = primary.log_after(replica.source_seq)
+    applied = replica.apply_log(records) if records is not None else 0
+    primary.follower_came(name, replica.source_seq)
+    return applied
+
+
+def follow(primary: Store, replica: Store, checkpoint: str, name: str = "replica", every: str | None = None):
+    """Starts a query that catches up whenever there are new files in the primary's log, or once with all that is there.
+
+    The stream tells that there is more; what is read follows from the replica's position, so the order and the
+    repetition of micro-batches don't matter.
+    """
+    catch_up(primary, replica, name)
+    files = primary.spark.readStream.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{primary.path}/log")
+    writer = files.writeStream.foreachBatch(lambda _, __: catch_up(primary, replica, name)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def ingested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream of log records into a log of its own, and that log."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    target, checkpoint = work_dir(spark, "ingest"), work_dir(spark, "ingest-state")
+    target, checkpoint = (work_dir(spark, name, keep=False) for name in ("ingest", "ingest-state"))
     into_log(log_of(stream).drop("gen"), target, checkpoint).awaitTermination()
     return read_log(spark, target)
 

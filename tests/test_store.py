@@ -1,11 +1,15 @@
 """The store against a plain dictionary, and across restarts, flushes and compactions."""
 
 import random
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from siltlog.sources import http
+from siltlog.sources import http, tcp
 from siltlog.store import Store, StoreConfig
+from siltlog.streaming import ingest
 
 
 def contents(store):
@@ -116,17 +120,168 @@ def test_write_a_dataframe_and_replicate(spark, tmp_path):
     replica = Store(spark, f"file://{tmp_path}/r", StoreConfig(read_only=True))
     seen = []
     primary.on_append(seen.extend)
+    primary.on_append(lambda records: 1 / 0)
     assert primary.write(spark.createDataFrame([("x", "1"), ("x", "3"), ("y", "2")], "key string, value string")) == 2
     primary.put("z", "4")
     primary.delete("y")
-    primary.sync()
-    for _, _, op, key, value, keys, values in seen:
+    for seq, _, op, key, value, keys, values in seen:
         replica.apply_replicated(op, key, value, keys, values)
-    assert contents(primary) == {"x": "3", "z": "4"} and contents(replica) == {"z": "4"}
+    replica.sync()
+    assert contents(primary) == contents(replica) == {"x": "3", "z": "4"}
+    assert len(seen) == 4 and replica.applied["records"] == 4
     with pytest.raises(PermissionError):
         replica.put("q", "1")
 
 
+def test_a_put_is_durable_when_it_returns(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    s = Store(spark, path)
+    s.put("a", "1")  # by the timer
+    assert Store(spark, path).get("a") == "1" and not s._pending
+    with ThreadPoolExecutor(8) as pool:  # writers that wait together share commits
+        list(pool.map(lambda k: s.put(f"k{k}", k), range(40)))
+    assert len([n for n, _ in s._log_names()]) < 30
+    soon = [s.put_soon(f"m{k}", k) for k in range(100)]
+    assert all(f.result(20) is None for f in soon)
+    again = Store(spark, path)  # without a close, as after a crash
+    assert len(contents(again)) == 141
+    again.put("b", "2")
+    with pytest.raises(RuntimeError, match="taken this store over"):
+        s.put("c", "3")
+    assert contents(Store(spark, path)).keys() == contents(again).keys()
+
+
+def test_a_failed_append_is_told_and_tried_again(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    hold = s._hold_lease
+    s._hold_lease = lambda: (_ for _ in ()).throw(OSError("away"))
+    with pytest.raises(OSError):
+        s.put("a", "1")
+    s._hold_lease = hold
+    s.put("b", "2")
+    assert contents(Store(spark, s.path)) == {"a": "1", "b": "2"}
+
+
+def test_a_snapshot_that_cant_be_written_changes_nothing(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", StoreConfig(sync="always"))
+    s.put("a", "1")
+    write = s._snapshots.write
+    s._snapshots.write = lambda *_: (_ for _ in ()).throw(OSError("full"))
+    with pytest.raises(OSError):
+        s.flush()
+    assert (s.snapshot["version"], s.snapshot["runs"], s.get_stats()["memtable_bytes"]) == (0, [], 51)
+    s._snapshots.write = write
+    s.flush()
+    assert s.snapshot["version"] == 1 and contents(s) == {"a": "1"}
+
+
+def test_flushes_in_the_background_and_sizes_after_a_restart(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    config = StoreConfig(sync="manual", memtable_bytes=2000, compact=False)
+    s = Store(spark, path, config)
+    for k in range(100):
+        s.put(f"flush:{k:05d}", "x" * 20)
+    s.close()
+    assert s.snapshot["runs"] and s.get_stats.__self__.snapshot["max_seq"] > 0
+    again = Store(spark, path, StoreConfig(sync="manual", compact=False))
+    assert len(contents(again)) == 100
+    again.put("one", "1")
+    again.sync()
+    once = again.get_stats()["memtable_bytes"]
+    third = Store(spark, path, StoreConfig(sync="manual", compact=False))
+    third.put("one", "2")  # overwrites what was logged before the restart
+    assert third.get_stats()["memtable_bytes"] == once
+
+
+def test_the_scheduler_merges_runs_one_merge_at_a_time(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    with Store(spark, path, StoreConfig(compact=False)) as s:
+        for k in range(4):
+            s.put("a", k)
+            s.flush()
+        (tmp_path / "s/runs/run=00000").mkdir()  # what a merge left half done
+        both = [s._compact_soon(), s._compact_soon()]
+        assert both[0] is both[1] or both[0].done()
+        assert both[0].result()["entries_removed"] == 3
+    assert sorted(p.name for p in (tmp_path / "s/runs").iterdir()) == ["run=00005"] and not [p for p in (tmp_path / "s/log").iterdir() if p.name.startswith("first=")]
+    with Store(spark, path, StoreConfig(compact=False)) as s:
+        for k in range(4):
+            s.put("b", k)
+            s.flush()
+    with Store(spark, path, StoreConfig(compaction_seconds=0.2)) as s:
+        for _ in range(100):
+            if s.stats["compactions"]:
+                break
+            time.sleep(0.2)
+        assert s.get_stats()["runs"] == 1 and contents(s) == {"a": "3", "b": "3"}
+
+
+def test_a_replica_catches_up(spark, tmp_path):
+    open_ = lambda name, **kw: Store(spark, f"file://{tmp_path}/{name}", StoreConfig(compact=False, **kw))
+    primary, replica = open_("p"), open_("r", read_only=True)
+    primary.put("a", "1")
+    primary.batch_put([("b", "1"), ("b", "2"), ("c", "3")])
+    primary.flush()
+    primary.flush()
+    primary.delete("a")
+    assert ingest.catch_up(primary, replica) == 4  # two live keys and one of them deleted later: three from runs, one logged
+    assert contents(replica) == contents(primary) == {"b": "2", "c": "3"} and ingest.catch_up(primary, replica) == 0
+    # the log is kept for a follower that is away
+    primary.put("repl:1", "Hello from primary")
+    primary.write(spark.createDataFrame([("x", "1"), ("y", "2")], "key string, value string"))
+    primary.flush()
+    primary.delete("c")
+    primary.flush()
+    primary.flush()
+    replica.close()
+    replica = open_("r", read_only=True)  # its position comes back from its own log
+    assert ingest.catch_up(primary, replica) == 4
+    assert contents(replica) == contents(primary) == {"b": "2", "repl:1": "Hello from primary", "x": "1", "y": "2"}
+    assert replica.source_seq == primary.seq and primary.replication_status()["pending"] == {"replica": 0}
+    replica.flush()
+    assert open_("r", read_only=True).source_seq == primary.seq
+    assert replica.replication_status()["applied"] == 4 and replica.replication_status()["bytes"] > 0
+    with pytest.raises(PermissionError):
+        ingest.catch_up(open_("other"), replica)
+
+
+def test_a_stream_follows_the_primary(spark, tmp_path):
+    primary, replica = Store(spark, f"file://{tmp_path}/p"), Store(spark, f"file://{tmp_path}/r", StoreConfig(read_only=True))
+    for k in range(3):
+        primary.put(f"multi:{k:03d}", f"V-{k}")
+        ingest.follow(primary, replica, f"file://{tmp_path}/state").awaitTermination()
+        assert contents(replica) == contents(primary)
+
+
+def test_pages(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/s", StoreConfig(sync="manual")) as s:
+        s.batch_put([(f"rng:{i:03d}", i) for i in range(30)])
+        pages, after = [], None
+        while page := [r["key"] for r in s.range("rng:002", "rng:027", 7, after).collect()]:
+            pages.append(len(page))
+            after = page[-1]
+        assert pages == [7, 7, 7, 5] and after == "rng:027"
+        assert http.answer(s, "GET", "/range?start=rng:002&end=rng:027&limit=2&after=rng:009")[1]["results"] == [{"key": "rng:010", "value": "10"}, {"key": "rng:011", "value": "11"}]
+
+
+def test_tcp_puts(spark, tmp_path):
+    with Store(spark, f"file://{tmp_path}/s") as s:
+        server = tcp.serve(s)
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        client = tcp.Client(*server.server_address)
+        assert client.stream_put([(f"tcp:{i:04d}", f"TcpVal-{i}") for i in range(5)]) == 5
+        assert len(contents(Store(spark, s.path))) == 5  # acknowledged means durable
+        with pytest.raises(RuntimeError, match="key"):
+            client.put("", "x")
+        with pytest.raises(RuntimeError, match="unexpected operation 2"):
+            client._ask(tcp.Message(tcp.ACK))
+        client.put("é🙂", "")
+        client.end()
+        server.shutdown()
+        server.server_close()
+        assert s.get("é🙂") == ""
+
+
 def test_http_contract(spark, tmp_path):
     with Store(spark, f"file://{tmp_path}/s") as s:
         ask = lambda m, t, b=b"": http.answer(s, m, t, b)
@@ -135,6 +290,7 @@ def test_http_contract(spark, tmp_path):
         assert ask("GET", "/get/a%2Fb+c") == (200, {"key": "a/b+c", "value": "true"})
         assert ask("POST", "/put", b'{"value": 1}')[0] == 400
         assert ask("POST", "/put", b"nonsense")[0] == 500
+        assert ask("POST", "/put", b"null")[0] == 500 and ask("POST", "/batch-put", b"[1]")[0] == 400
         assert ask("POST", "/batch-put", b'{"entries": []}')[0] == 400
         assert ask("POST", "/batch-put", b'{"keys": ["a"], "values": []}')[0] == 400
         assert "index 1" in ask("POST", "/batch-put", b'{"entries": [{"key": "a", "value": 1}, {"key": "", "value": 1}]}')[1]["error"]
