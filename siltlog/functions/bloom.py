@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 from pyspark.sql import Column
@@ -23,8 +24,39 @@ def hashes(n: Column, m: Column) -> Column:
     return F.greatest(F.lit(1), F.round(m / F.greatest(n, F.lit(1)) * math.log(2))).cast("long")
 
 
+def units(key: Column) -> Column:
+    """The UTF-16 code units of a text, as an array."""
+    digits = F.hex(F.encode(key, "UTF-16BE"))
+    n = (F.length(digits) / 4).cast("int")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+
+
+def fnv1a(key: Column) -> Column:
+    """32 bits of FNV-1a over UTF-16 code units, as a long from 0 on."""
+    # the prime is 2 ** 24 + 403, so that no product passes a long: the high part is cut before it is shifted
+    return F.aggregate(units(key), F.lit(FNV_BASIS).cast("long"), lambda h, x: F.pmod(h.bitwiseXOR(x) * F.lit(FNV_PRIME).cast("long"), F.lit(1 << 32)))
+
+
+def djb2(key: Column) -> Column:
+    """32 bits of djb2, the variant that joins by exclusive-or, over UTF-16 code units."""
+    return F.aggregate(units(key), F.lit(DJB_START).cast("long"), lambda h, x: F.pmod(h * 33, F.lit(1 << 32)).bitwiseXOR(x))
+
+
+def positions(key: Column, m: Column, k: Column) -> Column:
+    """The k bits of a key in a filter of m: (h1 + i * h2) mod 2 ** 32 mod m."""
+    return _positions(fnv1a(key), djb2(key), m, k)
+
+
+def _positions(a: Column, b: Column, m: Column, k: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1), lambda i: F.pmod(F.pmod(a + i * b, F.lit(1 << 32)), m.cast("long")))
+
+
 class BloomFilter:
-    """k positions of a key from two 32-bit hashes over its UTF-16 code units: (h1 + i * h2) mod 2 ** 32 mod m."""
+    """k positions of a key from two 32-bit hashes over its UTF-16 code units: (h1 + i * h2) mod 2 ** 32 mod m.
+
+    As bytes: m and k as u32, big-endian, and the bits from the lowest of each byte on.
+    """
 
     def __init__(self, n: int, rate: float = 0.01):
         n, rate = max(1, n), max(rate, LEAST_RATE)
@@ -46,3 +78,16 @@ class BloomFilter:
 
     def might_contain(self, key: str) -> bool:
         return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self.positions(key))
+
+    def to_bytes(self) -> bytes:
+        return struct.pack(">II", self.m, self.k) + self.bits.tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> BloomFilter:
+        self = cls.__new__(cls)
+        self.m, self.k = struct.unpack_from(">II", data)
+        self.bits = np.frombuffer(data, np.uint8, -(-self.m // 8), 8).copy()
+        return self
+
+    def stats(self) -> dict:
+        return {"num_bits": self.m, "num_hashes": self.k, "bytes": len(self.bits)}

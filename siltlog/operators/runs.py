@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltlog.functions import bloom
 from siltlog.functions.keys import MEMORY_HEAD, entry_bytes, memory_bytes, sort_key
 from siltlog.operators.state import latest
+from siltlog.sources.folders import written
 
 
 def flush(entries: DataFrame, generation: str = "gen") -> DataFrame:
@@ -61,16 +62,48 @@ def run_meta(runs: DataFrame, generation: str = "gen") -> DataFrame:
 
 
 def sparse_index(runs: DataFrame, interval: int = 10, generation: str = "gen") -> DataFrame:
-    """Of every run's sorted entries the first and each `interval`-th after it, with the byte offset where it starts."""
-    along = Window.partitionBy(generation).orderBy(sort_key(F.col("key")))
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = runs.select(
-        (F.col(generation) + 1).cast("long").alias("file_number"),
+    """Of every run's sorted entries the first and each `interval`-th after it, with the byte offset where it starts.
+
+    A run is cut into ranges of its keys, however large it is: entries are numbered within a range, and what lies
+    before a range is a sum over narrow rows, one for each range.
+    """
+    size = entry_bytes(F.col("key"), F.col("value"))
+    dealt = runs.select(F.col(generation).alias("run"), "key", sort_key(F.col("key")).alias("place"), size.alias("bytes")).repartitionByRange("run", "place")
+    dealt = written(dealt.withColumn("range", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy("run", "range").agg(F.count("*").alias("_entries"), F.sum("bytes").alias("_bytes"))
+    earlier = Window.partitionBy("run").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select("run", "range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_entries", "_bytes")))
+    along = Window.partitionBy("run", "range").orderBy("place")
+    numbered = dealt.withColumns({"entry": F.row_number().over(along) - 1, "offset": F.sum("bytes").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")})
+    # Spark broadcasts the ranges if they are below its own limit
+    found = numbered.join(before, ["run", "range"]).select(
+        (F.col("run") + 1).cast("long").alias("file_number"),
         "key",
-        (F.row_number().over(along) - 1).cast("long").alias("entry"),
-        F.coalesce(F.sum(entry_bytes(F.col("key"), F.col("value"))).over(before), F.lit(0)).cast("long").alias("offset"),
+        (F.col("entry") + F.col("_entries")).cast("long").alias("entry"),
+        (F.col("offset") + F.col("_bytes")).cast("long").alias("offset"),
     )
-    return numbered.where(F.col("entry") % interval == 0)
+    return found.where(F.col("entry") % interval == 0)
+
+
+def index_floor(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """(key, file_number, floor_key, offset): for each probe (key) and run the last indexed key up to it, and where a read begins.
+
+    Before a run's first key that is its beginning, with no floor key. Probes lie among the index entries of a run in
+    key order, cut into ranges; what a range begins with is the last entry of the ranges before it.
+    """
+    files = index.select("file_number").distinct()  # a catalogue
+    asked = probes.select("key").distinct().join(F.broadcast(files)).select("file_number", "key", F.lit(None).cast("long").alias("offset"), F.lit(True).alias("probe"))
+    both = index.select("file_number", "key", "offset", F.lit(False).alias("probe")).unionByName(asked)
+    dealt = both.withColumn("place", sort_key(F.col("key"))).repartitionByRange("file_number", "place", "probe")
+    dealt = written(dealt.withColumn("range", F.spark_partition_id()), "ranges")
+    entry = F.when(~F.col("probe"), F.struct("place", F.col("key").alias("floor_key"), "offset"))
+    along = Window.partitionBy("file_number", "range").orderBy("place", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("file_number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy("file_number", "range").agg(F.max(entry).alias("_end"))
+    before = ends.select("file_number", "range", F.max("_end").over(earlier).alias("_before"))
+    found = dealt.withColumn("_own", F.last(entry, ignorenulls=True).over(along)).where("probe").join(before, ["file_number", "range"])
+    floor = F.coalesce("_own", "_before")
+    return found.select("key", "file_number", floor["floor_key"].alias("floor_key"), F.coalesce(floor["offset"], F.lit(0)).alias("offset"))
 
 
 def bloom_params(meta: DataFrame, rate: float = 0.01) -> DataFrame:
@@ -79,6 +112,27 @@ def bloom_params(meta: DataFrame, rate: float = 0.01) -> DataFrame:
     return sized.withColumn("num_hashes", bloom.hashes(F.col("entry_count"), F.col("num_bits")).cast("long"))
 
 
+def bloom_bits(runs: DataFrame, params: DataFrame, generation: str = "gen") -> DataFrame:
+    """(file_number, num_bits, num_hashes, byte, value): the bytes of each run's Bloom filter that aren't 0, bits from the lowest on.
+
+    Bits meet byte by byte, so a filter of any size is made without one task holding it.
+    """
+    keyed = runs.select((F.col(generation) + 1).cast("long").alias("file_number"), bloom.fnv1a(F.col("key")).alias("a"), bloom.djb2(F.col("key")).alias("b")).distinct()
+    bits = keyed.join(params.select("file_number", "num_bits", "num_hashes"), "file_number")
+    bits = bits.select("file_number", "num_bits", "num_hashes", F.explode(bloom._positions(F.col("a"), F.col("b"), F.col("num_bits"), F.col("num_hashes"))).alias("bit"))
+    value = F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int")))
+    return bits.groupBy("file_number", "num_bits", "num_hashes", F.floor(F.col("bit") / 8).alias("byte")).agg(value.alias("value"))
+
+
+def bloom_probe(filters: DataFrame, params: DataFrame, probes: DataFrame) -> DataFrame:
+    """(key, file_number, might_contain) for each probe (key) and run, from the filters' bytes."""
+    asked = probes.select("key").distinct().join(F.broadcast(params.select("file_number", "num_bits", "num_hashes")))
+    asked = asked.select("key", "file_number", F.explode(bloom.positions(F.col("key"), F.col("num_bits"), F.col("num_hashes"))).alias("bit"))
+    asked = asked.withColumns({"byte": F.floor(F.col("bit") / 8), "mask": F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))})
+    met = asked.join(filters.select("file_number", "byte", "value"), ["file_number", "byte"], "left")
+    return met.groupBy("key", "file_number").agg(F.bool_and(F.coalesce(F.col("value").bitwiseAND(F.col("mask")) > 0, F.lit(False))).alias("might_contain"))
+
+
 def overlapping(meta: DataFrame, ranges: DataFrame) -> DataFrame:
     """(range_id, file_number) of runs whose keys may lie in a range (start, end); the others are never opened.
 

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltlog.functions import bloom
 from siltlog.functions.keys import memory_bytes, record_bytes
 from siltlog.operators import mutations, replicas, runs, state
 from siltlog.plans.sql import SQL
+from siltlog.sources.folders import work_dir, written
 from siltlog.sources.tables import events_log, lineitem_batches
+from siltlog.store import Store, StoreConfig
 from siltlog.streaming import ingest
 
 RANGE = ("user:000010", "user:000099:099")
@@ -50,10 +53,15 @@ def tombstones(spark: SparkSession, d: str) -> DataFrame:
     return state.tombstones(_entries(spark, d))
 
 
-def multi_get(spark: SparkSession, d: str) -> DataFrame:
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    """One key for each customer, some of which are in the log."""
     customers = spark.read.parquet(f"{d}/customer.parquet")
     key = F.concat(F.lit("user:"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(":"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0"))
-    return state.multi_get(_entries(spark, d), customers.select(key.alias("key")).distinct())
+    return customers.select(key.alias("key")).distinct()
+
+
+def multi_get(spark: SparkSession, d: str) -> DataFrame:
+    return state.multi_get(_entries(spark, d), _probes(spark, d))
 
 
 def batch_put(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +80,13 @@ def range_inverted(spark: SparkSession, d: str) -> DataFrame:
     return state.range_scan(_entries(spark, d), "user:000099", "user:000010")
 
 
+def range_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of the range: 25 keys behind the last one of the first."""
+    entries = _entries(spark, d)
+    first = state.range_scan(entries, *RANGE, limit=25).agg(F.max("key").alias("key")).first()["key"]
+    return state.range_scan(entries, *RANGE, limit=25, after=first)
+
+
 def validate_put(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
     key = F.when(F.col("user_id") % 11 == 0, F.lit(None)).when(F.col("user_id") % 7 == 0, F.lit("")).otherwise(F.col("user_id").cast("string"))
@@ -103,7 +118,7 @@ def flush_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flush_by_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Runs by the byte limit: an order-dependent fold, which SQL can't state."""
+    """Runs by the byte limit: an order-dependent fold over the log."""
     return runs.run_meta(runs.flush(runs.generations_by_bytes(_entries(spark, d).drop("gen"), FLUSH_BYTES)))
 
 
@@ -119,6 +134,26 @@ def sparse_index(spark: SparkSession, d: str) -> DataFrame:
     return runs.sparse_index(runs.flush(_entries(spark, d)))
 
 
+def sparse_floor(spark: SparkSession, d: str) -> DataFrame:
+    return runs.index_floor(sparse_index(spark, d), _probes(spark, d))
+
+
+def bloom_hashes(spark: SparkSession, d: str) -> DataFrame:
+    keys = state.latest(_entries(spark, d)).select("key")
+    return keys.select("key", bloom.fnv1a(F.col("key")).alias("fnv1a"), bloom.djb2(F.col("key")).alias("djb2"))
+
+
+def bloom_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The non-zero bytes of every run's filter."""
+    flushed = runs.flush(_entries(spark, d))
+    return runs.bloom_bits(flushed, runs.bloom_params(runs.run_meta(flushed)))
+
+
+def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
+    params = bloom_params(spark, d)
+    return runs.bloom_probe(bloom_bytes(spark, d), params, _probes(spark, d))
+
+
 def bloom_params(spark: SparkSession, d: str) -> DataFrame:
     return runs.bloom_params(run_meta(spark, d))
 
@@ -167,6 +202,27 @@ def replication_status(spark: SparkSession, d: str) -> DataFrame:
     return replicas.status(entries, _flushed(entries))
 
 
+def replication_metrics(spark: SparkSession, d: str) -> DataFrame:
+    log = events_log(spark, d)
+    return replicas.metrics(log, _flushed(log))
+
+
+def replica_store(spark: SparkSession, d: str) -> DataFrame:
+    """The events' puts written to a store in two parts, a replica that caught up after each, and what the replica holds.
+
+    The keys of the first three generations go in as one DataFrame, the rest behind a flush of the primary.
+    """
+    entries = _entries(spark, d)
+    parts = [state.live(entries.where(p)) for p in ("gen < 3", "gen >= 3")]
+    path = work_dir(spark, "replicated", keep=False)
+    with Store(spark, f"{path}/primary", StoreConfig(compact=False)) as primary, Store(spark, f"{path}/replica", StoreConfig(read_only=True, compact=False)) as replica:
+        for part in parts:
+            primary.write(part)
+            ingest.catch_up(primary, replica)
+            primary.flush()
+        return written(replica.live(), "replica")
+
+
 def replica_diff(spark: SparkSession, d: str) -> DataFrame:
     entries = _entries(spark, d)
     return replicas.difference(entries, _flushed(entries)).select("side", "key", "value")
@@ -178,9 +234,9 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    put_overwrite, live_state, tombstones, multi_get, batch_put, range_scan, range_limit, range_inverted, validate_put, validate_batch, wal_bytes, entry_bytes,
-    flush_runs, flush_by_bytes, run_meta, sparse_index, bloom_params, run_pruning, merge_runs, compaction, wal_tail, wal_replay, store_stats, replica_state,
-    replication_status, replica_diff, stream_ingest,
+    put_overwrite, live_state, tombstones, multi_get, batch_put, range_scan, range_limit, range_inverted, range_page, validate_put, validate_batch, wal_bytes, entry_bytes,
+    flush_runs, flush_by_bytes, run_meta, sparse_index, sparse_floor, bloom_params, bloom_hashes, bloom_bytes, bloom_probe, run_pruning, merge_runs, compaction, wal_tail, wal_replay, store_stats, replica_state,
+    replication_status, replication_metrics, replica_diff, replica_store, stream_ingest,
 )
 
 

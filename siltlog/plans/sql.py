@@ -31,6 +31,25 @@ meta AS (
     CAST(sum({BYTES} + 49) AS BIGINT) AS memory_bytes, max(seq) AS max_seq
   FROM runs GROUP BY gen
 )"""
+PROBES = """
+probes AS (SELECT DISTINCT 'user:' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || ':' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS key FROM customer)"""
+INDEX = f"""
+numbered AS (
+  SELECT gen + 1 AS file_number, key, row_number() OVER (PARTITION BY gen ORDER BY key) - 1 AS entry,
+    CAST(coalesce(sum({BYTES} + 15) OVER (PARTITION BY gen ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM runs
+), idx AS (SELECT * FROM numbered WHERE entry % 10 = 0)"""
+PARAMS = """
+sized AS (SELECT file_number, entry_count, CAST(ceil(-greatest(entry_count, 1) * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS num_bits FROM meta
+), params AS (SELECT *, CAST(greatest(1, round(num_bits / CAST(entry_count AS DOUBLE) * ln(2))) AS BIGINT) AS num_hashes FROM sized)"""
+#: Keys of the events are ASCII, whose code units are their characters.
+UNITS = "list_transform(generate_series(1, len({key})), lambda i: CAST(unicode(substr({key}, CAST(i AS INTEGER), 1)) AS BIGINT))"
+FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), " + UNITS + "), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+DJB = "list_reduce(list_prepend(CAST(5381 AS BIGINT), " + UNITS + "), lambda h, x: xor((h * 33) % 4294967296, x))"
+FILTERS = f"""
+keyed AS (SELECT gen + 1 AS file_number, {FNV.format(key="key")} AS a, {DJB.format(key="key")} AS b FROM runs
+), setbits AS (
+  SELECT DISTINCT file_number, num_bits, num_hashes, ((a + i * b) % 4294967296) % num_bits AS bit
+  FROM (SELECT k.*, num_bits, num_hashes, unnest(generate_series(0, num_hashes - 1)) AS i FROM keyed k JOIN params USING (file_number)) x)"""
 REPLICA = "replica AS (SELECT * FROM log WHERE gen < (SELECT max(gen) FROM log))"
 REPLICA_LAST = "rlast AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM replica) t WHERE rn = 1)"
 
@@ -45,6 +64,9 @@ SQL = {
     "range_scan": f"WITH {LOG}, {LAST} SELECT key, value FROM last WHERE NOT deleted AND key BETWEEN 'user:000010' AND 'user:000099:099'",
     "range_limit": f"WITH {LOG}, {LAST} SELECT key, value FROM last WHERE NOT deleted AND key BETWEEN 'user:000010' AND 'user:000099:099' ORDER BY key LIMIT 25",
     "range_inverted": f"WITH {LOG}, {LAST} SELECT key, value FROM last WHERE NOT deleted AND key BETWEEN 'user:000099' AND 'user:000010'",
+    "range_page": f"""WITH {LOG}, {LAST}, ranked AS (
+        SELECT key, value, row_number() OVER (ORDER BY key) AS r FROM last WHERE NOT deleted AND key BETWEEN 'user:000010' AND 'user:000099:099')
+        SELECT key, value FROM ranked WHERE r BETWEEN 26 AND 50""",
     "validate_put": """SELECT event_id, CASE WHEN reason IS NULL THEN 200 ELSE 400 END AS status, reason FROM (
         SELECT event_id, CASE WHEN user_id % 11 = 0 OR user_id % 7 = 0 THEN 'invalid key' WHEN event_type = 'error' THEN 'invalid value' END AS reason FROM events) t""",
     "validate_batch": f"""WITH {BATCH}, b AS (
@@ -58,13 +80,20 @@ SQL = {
     "entry_bytes": f"WITH {LOG}, {RUNS}, {META} SELECT file_number, data_bytes, memory_bytes FROM meta",
     "flush_runs": f"WITH {LOG}, {RUNS} SELECT gen, key, value, deleted, seq FROM runs",
     "run_meta": f"WITH {LOG}, {RUNS}, {META} SELECT * FROM meta",
-    "sparse_index": f"""WITH {LOG}, {RUNS}, n AS (
-        SELECT gen + 1 AS file_number, key, row_number() OVER (PARTITION BY gen ORDER BY key) - 1 AS entry,
-          CAST(coalesce(sum({BYTES} + 15) OVER (PARTITION BY gen ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM runs)
-        SELECT * FROM n WHERE entry % 10 = 0""",
-    "bloom_params": f"""WITH {LOG}, {RUNS}, {META}, m AS (
-        SELECT file_number, entry_count, CAST(ceil(-greatest(entry_count, 1) * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS num_bits FROM meta)
-        SELECT *, CAST(greatest(1, round(num_bits / CAST(entry_count AS DOUBLE) * ln(2))) AS BIGINT) AS num_hashes FROM m""",
+    "sparse_index": f"WITH {LOG}, {RUNS}, {INDEX} SELECT * FROM idx",
+    "sparse_floor": f"""WITH {LOG}, {RUNS}, {INDEX}, {PROBES}, f AS (
+        SELECT p.key, g.file_number, (SELECT max(i.key) FROM idx i WHERE i.file_number = g.file_number AND i.key <= p.key) AS floor_key
+        FROM probes p, (SELECT DISTINCT file_number FROM idx) g)
+        SELECT f.key, f.file_number, f.floor_key, coalesce(i."offset", 0) AS "offset" FROM f LEFT JOIN idx i ON i.file_number = f.file_number AND i.key = f.floor_key""",
+    "bloom_hashes": f"WITH {LOG} SELECT key, {FNV.format(key='key')} AS fnv1a, {DJB.format(key='key')} AS djb2 FROM (SELECT DISTINCT key FROM log) t",
+    "bloom_bytes": f"""WITH {LOG}, {RUNS}, {META}, {PARAMS}, {FILTERS}
+        SELECT file_number, num_bits, num_hashes, bit // 8 AS byte, CAST(sum(1 << CAST(bit % 8 AS INTEGER)) AS INTEGER) AS value FROM setbits GROUP BY ALL""",
+    "bloom_probe": f"""WITH {LOG}, {RUNS}, {META}, {PARAMS}, {FILTERS}, {PROBES}, asked AS (
+        SELECT p.key, file_number, ((a + i * b) % 4294967296) % num_bits AS bit
+        FROM (SELECT key, a, b, file_number, num_bits, unnest(generate_series(0, num_hashes - 1)) AS i
+          FROM (SELECT key, {FNV.format(key="key")} AS a, {DJB.format(key="key")} AS b FROM probes) h, params) p)
+        SELECT a.key, a.file_number, bool_and(s.bit IS NOT NULL) AS might_contain FROM asked a LEFT JOIN setbits s ON s.file_number = a.file_number AND s.bit = a.bit GROUP BY a.key, a.file_number""",
+    "bloom_params": f"WITH {LOG}, {RUNS}, {META}, {PARAMS} SELECT * FROM params",
     "run_pruning": f"""WITH {LOG}, {RUNS}, {META}, r AS (
         SELECT n_nationkey AS range_id, 'user:' || lpad(CAST(n_nationkey * 8 AS VARCHAR), 6, '0') AS s, 'user:' || lpad(CAST(n_nationkey * 8 + n_regionkey AS VARCHAR), 6, '0') AS e FROM nation)
         SELECT range_id, file_number FROM r JOIN meta ON first_key <= e AND last_key >= s AND s <= e""",
@@ -74,7 +103,18 @@ SQL = {
         SELECT *, entries_read - entries_written AS entries_removed FROM c""",
     "wal_tail": f"WITH {LOG} SELECT seq, op, key, value FROM log WHERE gen = (SELECT max(gen) FROM log)",
     "wal_replay": f"WITH {LOG}, {LAST} SELECT key, value FROM last WHERE NOT deleted",
-    "flush_by_bytes": None,
+    "flush_by_bytes": f"""WITH RECURSIVE {LOG}, sized AS (
+        SELECT seq, key, {BYTES} + 49 AS n, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS before, lag({BYTES} + 49) OVER (PARTITION BY key ORDER BY seq) AS was FROM log
+      ), borders AS (
+        SELECT CAST(0 AS BIGINT) AS gen, (SELECT min(seq) FROM log) AS start
+        UNION ALL
+        SELECT gen + 1, (SELECT min(seq) FROM (
+            SELECT seq, sum(n - CASE WHEN before >= start THEN was ELSE 0 END) OVER (ORDER BY seq) AS live FROM sized WHERE seq >= start) x WHERE live >= {100 * 1024}) + 1
+        FROM borders WHERE start IS NOT NULL
+      ), dealt AS (
+        SELECT l.* EXCLUDE (gen), b.gen AS gen FROM (SELECT gen, start, lead(start) OVER (ORDER BY gen) AS stop FROM borders WHERE start IS NOT NULL) b
+        JOIN log l ON l.seq >= b.start AND (b.stop IS NULL OR l.seq < b.stop)
+      ), runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gen, key ORDER BY seq DESC) AS rn FROM dealt) t WHERE rn = 1), {META} SELECT * FROM meta""",
     "store_stats": f"""WITH {LOG}, {RUNS}, {META}, tail AS (SELECT * FROM log WHERE gen = (SELECT max(gen) FROM log)), t AS (
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM tail) x WHERE rn = 1)
         SELECT (SELECT count(*) FROM t) AS memtable_entries, (SELECT CAST(sum({BYTES} + 49) AS BIGINT) FROM t) AS memtable_bytes,
@@ -84,6 +124,13 @@ SQL = {
     "replication_status": f"""WITH {LOG}, {REPLICA} SELECT (SELECT max(seq) FROM log) AS primary_seq, (SELECT max(seq) FROM replica) AS replica_seq,
         (SELECT count(*) FROM replica) AS applied, count(*) AS pending, CAST(coalesce((SELECT max(ts) FROM log) - min(ts), 0) AS BIGINT) AS lag_ms, count(*) = 0 AS caught_up
         FROM log WHERE seq > coalesce((SELECT max(seq) FROM replica), -1)""",
+    "replication_metrics": f"""WITH {LOG}, {REPLICA}, sizes AS (
+        SELECT seq, ts, CASE WHEN op = 'PUT' THEN 6 + {BYTES} ELSE 2 + octet_length(encode(key)) END + 25 AS n, gen < (SELECT max(gen) FROM log) AS done FROM log)
+        SELECT count(*) FILTER (done) AS applied, CAST(coalesce(sum(n) FILTER (done), 0) AS BIGINT) AS applied_bytes, count(*) FILTER (NOT done) AS pending,
+          CAST(coalesce(sum(n) FILTER (NOT done), 0) AS BIGINT) AS pending_bytes, max(ts) - max(ts) FILTER (done) AS backup_lag_ms FROM sizes""",
+    "replica_store": f"""WITH {LOG}, two AS (SELECT *, gen >= 3 AS late FROM log), lasts AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY late, key ORDER BY seq DESC) AS rn FROM two) t WHERE rn = 1 AND NOT deleted)
+        SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY late DESC) AS r FROM lasts) u WHERE r = 1""",
     "replica_diff": f"""WITH {LOG}, {LAST}, {REPLICA}, {REPLICA_LAST}, a AS (SELECT key, value FROM last WHERE NOT deleted), b AS (SELECT key, value FROM rlast WHERE NOT deleted)
         SELECT 'primary' AS side, key, value FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) x
         UNION ALL SELECT 'replica', key, value FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) y""",

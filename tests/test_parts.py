@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from siltlog.functions.bloom import BloomFilter
 from siltlog.functions.keys import js_text
 from siltlog.operators import mutations, replicas, runs, state
-from siltlog.sources import binary
+from siltlog.sources import binary, tcp
 from siltlog.store import StoreConfig
 from siltlog.streaming import ingest
 
@@ -54,6 +54,58 @@ def test_bloom_filter_has_no_false_negatives():
     assert sum(f.might_contain(f"other:{i}") for i in range(2000)) < 60
 
 
+def test_bloom_bytes_and_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from siltlog.functions import bloom
+
+    f = BloomFilter(3)
+    assert f.stats() == {"num_bits": 29, "num_hashes": 7, "bytes": 4} and f.to_bytes()[:8] == b"\0\0\0\x1d\0\0\0\x07"
+    f.add("a")
+    back = BloomFilter.from_bytes(f.to_bytes())
+    assert back.to_bytes() == f.to_bytes() and back.might_contain("a") and not back.might_contain("b")
+    # published vectors of 32-bit FNV-1a; djb2 worked out by hand: 5381 * 33 ^ 97
+    keys = ["", "a", "foobar", "é🙂", "user:000001:002"]
+    got = spark.createDataFrame([(k,) for k in keys], "key string").select("key", bloom.fnv1a(F.col("key")), bloom.djb2(F.col("key")), bloom.positions(F.col("key"), F.lit(29), F.lit(7))).collect()
+    found = {r[0]: tuple(r)[1:] for r in got}
+    assert [found[k][0] for k in keys[:3]] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968] and found["a"][1] == 5381 * 33 ^ 97
+    assert all(list(found[k][2]) == f.positions(k) for k in keys)
+
+
+def test_sparse_index_and_floor_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keys = [f"k{i:05d}" for i in range(0, 3000, 3)]
+        df = spark.createDataFrame([(0, k, "v" * (len(k) + i % 7)) for i, k in enumerate(keys)], "gen int, key string, value string")
+        index = runs.sparse_index(df)
+        offsets, at = {}, 0
+        for i, k in enumerate(keys):
+            offsets[k] = (i, at)
+            at += len(k) + len(k) + i % 7 + 15
+        assert sorted((r["key"], r["entry"], r["offset"]) for r in index.collect()) == [(k, *offsets[k]) for k in keys[::10]]
+        probes = ["a", "k00000", "k00029", "k00030", "k01234", "k02999", "z"]
+        got = {r["key"]: (r["floor_key"], r["offset"]) for r in runs.index_floor(index, spark.createDataFrame([(p,) for p in probes], "key string")).collect()}
+        for p in probes:
+            floor = max((k for k in keys[::10] if k <= p), default=None)
+            assert got[p] == (floor, offsets[floor][1] if floor else 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_frames_come_back():
+    import io
+
+    messages = [tcp.Message(tcp.PUT, "é", ""), tcp.Message(tcp.ACK), tcp.Message(tcp.ACK, status=tcp.FAILED, text="why"), tcp.Message(tcp.END), tcp.Message(tcp.ERROR, text="x")]
+    stream = io.BytesIO(b"".join(map(tcp.encode, messages)) + b"\0\0")
+    assert [tcp.read(stream) for _ in messages] == messages and tcp.read(stream) is None
+    # fixed bytes of a put, an acknowledgement and an end
+    assert tcp.encode(tcp.Message(tcp.PUT, "k", "vv")) == b"\0\0\0\x0a\x01\0\x01k\0\0\0\x02vv"
+    assert (tcp.encode(messages[1]), tcp.encode(messages[3])) == (b"\0\0\0\x02\x02\0", b"\0\0\0\x01\x03")
+    for bad in (b"\x01\0\x05k", b"\x09", b"\x02"):
+        with pytest.raises(ValueError):
+            tcp.decode(bad)
+
+
 def test_flush_border_is_a_fold(spark):
     rnd = random.Random(3)
     rows = [(i, 0, i, f"k{rnd.randrange(30)}", "x" * rnd.randrange(60), False) for i in range(400)]
@@ -116,3 +168,4 @@ def test_command_line():
 
     made = config(parser().parse_args(["--path", "p", "--sync=always", "--memtable-bytes", "9", "--no-compaction", "--replica"]))
     assert made == StoreConfig(memtable_bytes=9, sync="always", compact=False, read_only=True)
+    assert config(parser().parse_args(["--path", "p", "--follow=q"])).read_only
