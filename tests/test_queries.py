@@ -48,3 +48,17 @@ def test_entry_filter_reaches_the_scan_side_of_the_last_writer(spark, tmp_path):
     spark.createDataFrame([(1, 0, 1, f"k{i}", "v", False) for i in range(10)], "seq long, pos int, ts long, key string, value string, deleted boolean").write.parquet(f"{tmp_path}/e")
     plan = state.live(spark.read.parquet(f"{tmp_path}/e").where("key = 'k3'"))._jdf.queryExecution().toString()
     assert "EqualTo(key,k3)" in plan
+
+
+@pytest.mark.filterwarnings("ignore:.*is left out")
+def test_entry_without_an_optional_library(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.startswith("siltlog.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    found = __spark_entry__.queries()
+    assert set(registry.queries()) <= set(found) and not [n for n in found if n.startswith("op3")]
+    assert set(__spark_entry__.oracle_sql()) <= set(found)
