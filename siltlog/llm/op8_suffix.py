@@ -4,9 +4,9 @@ Every window of LENGTH bytes picks an anchor, the K bytes in it with the least h
 bytes alone: equal windows have equal anchors. Neighbouring windows with one anchor make a context. Contexts meet by
 the 64 bits of their anchor's hash; anchors that occur once are done. Among the contexts of an anchor equal ones are
 settled by another 64 bits, of both sums over the whole context: all windows of all but the first are repeats. Different contexts around one anchor go, with their bytes,
-through the interval expansion of `repeats`, which finds all windows that begin earlier. Where an anchor has very many
-different contexts, as at the edges of a passage in a large part of all documents, its windows meet one by one
-by two independent hashes of 64 bits instead. Equal contexts of a task are settled before they are shuffled.
+through the interval expansion of `repeats`, which finds all windows that begin earlier. Where an anchor has MANY
+different contexts or more, as at the edges of a passage in a large part of all documents, no single task could hold
+them, and its windows meet one by one by two independent hashes of 64 bits instead. Equal contexts of a task are settled before they are shuffled.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from siltlog.llm.repeats import later_windows
 
 NAME = "op8_suffix"
 LENGTH, ANCHOR = 100, 32
-#: Different contexts of an anchor, in a task or in all, beyond which its windows are taken one by one.
-MANY = 64
+#: Different contexts of an anchor, in a task or in all, from which its windows are taken one by one: what the transform
+#: holds of an anchor has less than so many contexts of at most 2 * LENGTH - ANCHOR bytes.
+MANY = 2048
 #: Bytes of contexts in one transform at least, but for the last; whole anchors go together.
 UNIT_BYTES = 1 << 19
 STEP_BYTES = 1 << 20
-#: Buckets for each shuffle partition, so that hashing them to partitions comes out even.
-BUCKETS_PER_PARTITION = 16
+#: Buckets for each shuffle partition, so that hashing them to partitions comes out even; and bytes of input for each,
+#: by Spark's own estimate, since a task holds the entries of one bucket at a time.
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 16, 4 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 ENTRY = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("lo", "<u4"), ("off", "u1"), ("run", "u1")])
 CONTEXT, WINDOW, NOTICE, MARK = 0, 1, 2, 3
@@ -244,32 +246,43 @@ def _out(what: int, e: np.ndarray):
         )
 
 
+def by_bucket(batches):
+    """For each bucket of rows (bucket, kind, blob) sorted by bucket: its entries by kind. One bucket is held at a time."""
+    bucket, held = None, {}
+    for batch in batches:
+        for at, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if at != bucket:
+                if held:
+                    yield {k: np.concatenate(x) for k, x in held.items()}
+                bucket, held = at, {}
+            held.setdefault(kind, []).append(unpacked(blob.as_py()))
+    if held:
+        yield {k: np.concatenate(x) for k, x in held.items()}
+
+
 def meet(found: DataFrame, partitions: int) -> DataFrame:
-    """OUT rows: what is settled when all contexts of an anchor, and all windows of a hash, have met in a task."""
+    """OUT rows: what is settled when all contexts of an anchor, and all windows of a hash, have met in a bucket."""
 
     def run(batches):
-        by: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                by.setdefault(kind, []).append(unpacked(blob.as_py()))
-        all_of = lambda kind: np.concatenate(by.pop(kind, [np.zeros(0, ENTRY)]))
-        yield from _out(MARK, all_of(MARK))
-        w, later = settle(all_of(WINDOW))
-        yield from _out(MARK, w[later])
-        yield from _out(WINDOW, w[~later])
-        notices = np.unique(all_of(NOTICE)["key"])
-        e, later = settle(all_of(CONTEXT))
-        if not len(e):
-            return
-        yield from _out(MARK, e[later])
-        many = _many(e, later) | np.isin(e["key"], notices)
-        yield from _out(CONTEXT, e[~later & many])
-        new = _groups(e["key"])
-        group = np.cumsum(new) - 1
-        several = np.bincount(group, ~later)[group] > 1
-        yield from _out(UNIT, e[~later & several & ~many])
-
-    return found.repartition(partitions, "bucket").mapInArrow(run, OUT)
+        for by in by_bucket(batches):
+            all_of = lambda kind: by.pop(kind, np.zeros(0, ENTRY))  # noqa: B023, E731
+            yield from _out(MARK, all_of(MARK))
+            w, later = settle(all_of(WINDOW))
+            yield from _out(MARK, w[later])
+            yield from _out(WINDOW, w[~later])
+            notices = np.unique(all_of(NOTICE)["key"])
+            e, later = settle(all_of(CONTEXT))
+            if not len(e):
+                continue
+            yield from _out(MARK, e[later])
+            many = _many(e, later) | np.isin(e["key"], notices)
+            yield from _out(CONTEXT, e[~later & many])
+            new = _groups(e["key"])
+            group = np.cumsum(new) - 1
+            several = np.bincount(group, ~later)[group] > 1
+            yield from _out(UNIT, e[~later & several & ~many])
+
+    return found.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, OUT)
 
 
 #: What is cut out of texts: the bytes of contexts (UNIT), or windows by their hash (WINDOW, no body).
@@ -369,7 +382,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, th, lo, run): runs of windows, run + 1 of them from byte lo on, that also begin earlier; docs has doc, th and text."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = written(meet(scan(docs.select("doc", "th", "text"), BUCKETS_PER_PARTITION * partitions), partitions), "met", "what")
+    # an estimate of the plan, from the sizes of files; it changes no result
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(1 << 30, max(BUCKETS_PER_PARTITION * partitions, estimate // BUCKET_BYTES))
+    met = written(meet(scan(docs.select("doc", "th", "text"), buckets), partitions), "met", "what")
     wanted = met.where(F.col("what").isin(UNIT, CONTEXT)).groupBy("doc", "th").agg(F.collect_list(F.struct("what", "key", "lo", "run")).alias("wanted"))
     # rows of one document that are repeated give their contexts twice, which is harmless: they have one place
     # all columns are carried along: the texts are then dealt out just as for the caller's own join, once for both
@@ -385,7 +401,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of LENGTH bytes over it also starts earlier: at a smaller doc_id, or earlier in the same
     document; strings are those of the input and never cross documents. Null and short texts lose nothing. Rows that
     share doc_id and text are one document and fare alike; texts that share a doc_id are told apart and ordered by 64 bits of a hash of them; a
-    null doc_id comes before all others. An empty table gives an empty result, other columns are not read.
+    null doc_id comes before all others. An empty table gives an empty result, other columns are not read, whatever
+    their names. A task holds about a dozen numbers of 8 bytes for each byte of its longest text.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     place = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
