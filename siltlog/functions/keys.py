@@ -24,6 +24,12 @@ def entry_bytes(key: Column, value: Column) -> Column:
     return (F.octet_length(key) + F.octet_length(value) + ENTRY_HEAD).cast("long")
 
 
+def entry_encoded(key: Column, value: Column, ts: Column, deleted: Column) -> Column:
+    """A run entry as bytes: key behind its u16 length, value behind its u32 length, time u64, a byte that tells a tombstone."""
+    number = lambda x, digits: F.unhex(F.lpad(F.hex(x.cast("long")), digits, "0"))
+    return F.concat(number(F.octet_length(key), 4), key.cast("binary"), number(F.octet_length(value), 8), value.cast("binary"), number(ts, 16), number(deleted.cast("int"), 2))
+
+
 def memory_bytes(key: Column, value: Column) -> Column:
     return (F.octet_length(key) + F.octet_length(value) + MEMORY_HEAD).cast("long")
 

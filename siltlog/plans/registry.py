@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.functions import bloom
-from siltlog.functions.keys import memory_bytes, record_bytes
+from siltlog.functions.keys import entry_encoded, memory_bytes, record_bytes
 from siltlog.operators import mutations, replicas, runs, state
 from siltlog.plans.sql import SQL
 from siltlog.sources.folders import work_dir, written
@@ -130,6 +130,12 @@ def entry_bytes(spark: SparkSession, d: str) -> DataFrame:
     return run_meta(spark, d).select("file_number", "data_bytes", "memory_bytes")
 
 
+def entry_encoding(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of every run entry's bytes."""
+    flushed = runs.flush(_entries(spark, d))
+    return flushed.select("gen", "key", F.sha2(entry_encoded(*(F.col(c) for c in ("key", "value", "ts", "deleted"))), 256).alias("entry_sha256"))
+
+
 def sparse_index(spark: SparkSession, d: str) -> DataFrame:
     return runs.sparse_index(runs.flush(_entries(spark, d)))
 
@@ -234,7 +240,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    put_overwrite, live_state, tombstones, multi_get, batch_put, range_scan, range_limit, range_inverted, range_page, validate_put, validate_batch, wal_bytes, entry_bytes,
+    put_overwrite, live_state, tombstones, multi_get, batch_put, range_scan, range_limit, range_inverted, range_page, validate_put, validate_batch, wal_bytes, entry_bytes, entry_encoding,
     flush_runs, flush_by_bytes, run_meta, sparse_index, sparse_floor, bloom_params, bloom_hashes, bloom_bytes, bloom_probe, run_pruning, merge_runs, compaction, wal_tail, wal_replay, store_stats, replica_state,
     replication_status, replication_metrics, replica_diff, replica_store, stream_ingest,
 )

@@ -78,6 +78,8 @@ SQL = {
         UNION ALL SELECT 'BATCH_PUT', 29 + sum(6 + octet_length(encode(k)) + octet_length(encode(v))) FROM lines GROUP BY l_orderkey)
         SELECT op, count(*) AS records, CAST(sum(n) AS BIGINT) AS bytes FROM sizes GROUP BY op""",
     "entry_bytes": f"WITH {LOG}, {RUNS}, {META} SELECT file_number, data_bytes, memory_bytes FROM meta",
+    "entry_encoding": f"""WITH {LOG}, {RUNS} SELECT gen, key, sha256(from_hex(printf('%04x', octet_length(encode(key)))) || encode(key) || from_hex(printf('%08x', octet_length(encode(value)))) || encode(value)
+        || from_hex(printf('%016x', ts)) || from_hex(CASE WHEN deleted THEN '01' ELSE '00' END)) AS entry_sha256 FROM runs""",
     "flush_runs": f"WITH {LOG}, {RUNS} SELECT gen, key, value, deleted, seq FROM runs",
     "run_meta": f"WITH {LOG}, {RUNS}, {META} SELECT * FROM meta",
     "sparse_index": f"WITH {LOG}, {RUNS}, {INDEX} SELECT * FROM idx",

@@ -85,6 +85,24 @@ def _record(body: bytes) -> tuple:
     return seq, ts, op, None, None, [k for k, _ in pairs], [v for _, v in pairs]
 
 
+def encode_entry(key: str, value: str, ts: int, deleted: bool) -> bytes:
+    """An entry of a run."""
+    return _key(key) + _value(value) + struct.pack(">QB", ts, deleted)
+
+
+def decode_entry(data: bytes, at: int = 0) -> tuple[str, str, int, bool, int]:
+    """(key, value, ts, deleted) of the entry that begins at a byte, and where the next one begins."""
+    out = []
+    for form in (">H", ">I"):
+        (n,) = struct.unpack_from(form, data, at)
+        at += struct.calcsize(form) + n
+        if at > len(data):
+            raise ValueError("an entry is cut short")
+        out.append(data[at - n : at].decode())
+    ts, deleted = struct.unpack_from(">QB", data, at)
+    return out[0], out[1], ts, deleted == 1, at + 9
+
+
 def read_binary_log(spark: SparkSession, path: str) -> DataFrame:
     """The records of all *.log files in a folder; whole files are read, many at a time, and need no order."""
 

@@ -38,6 +38,21 @@ def test_record_sizes_agree_with_the_expression(spark):
     assert [r[0] for r in got] == [len(binary.encode(*r)) for r in rows]
 
 
+def test_run_entries_come_back(spark):
+    from pyspark.sql import functions as F
+
+    from siltlog.functions.keys import entry_encoded
+
+    rows = [("kéy", "v🙂", 1 << 40, False), ("k", "", 0, True)]
+    data = b"".join(binary.encode_entry(*r) for r in rows)
+    *first, at = binary.decode_entry(data)
+    assert tuple(first) == rows[0] and binary.decode_entry(data, at) == (*rows[1], len(data))
+    got = spark.createDataFrame(rows, "key string, value string, ts long, deleted boolean").select(entry_encoded(*(F.col(c) for c in ("key", "value", "ts", "deleted")))).collect()
+    assert b"".join(bytes(r[0]) for r in got) == data
+    with pytest.raises(ValueError):
+        binary.decode_entry(data[:4])
+
+
 def test_binary_log_files(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(binary.encode(1, 1, "PUT", "k", "1") + b"\0\0")
     (tmp_path / "b.log").write_bytes(binary.encode(2, 2, "PUT", "k", "2"))
