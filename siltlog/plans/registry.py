@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from siltlog.functions import bloom
 from siltlog.functions.keys import entry_encoded, memory_bytes, record_bytes
 from siltlog.operators import mutations, replicas, runs, state
 from siltlog.plans.sql import SQL
+from siltlog.sources import binary, http, tcp
 from siltlog.sources.folders import work_dir, written
 from siltlog.sources.tables import events_log, lineitem_batches
 from siltlog.store import Store, StoreConfig
@@ -113,6 +118,13 @@ def wal_bytes(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("op").agg(F.count("*").alias("records"), F.sum(size).alias("bytes"))
 
 
+def binary_log(spark: SparkSession, d: str) -> DataFrame:
+    """Both logs as bytes with checksums, and read from them again."""
+    log = events_log(spark, d).drop("gen").unionByName(lineitem_batches(spark, d))
+    back = binary.decode_log(binary.encode_log(log))
+    return back.select("seq", "op", "key", "value", F.size("keys").cast("long").alias("entries")).withColumn("entries", F.when(F.col("op") == "BATCH_PUT", F.col("entries")).otherwise(0))
+
+
 def flush_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.flush(_entries(spark, d)).select("gen", "key", "value", "deleted", "seq")
 
@@ -229,6 +241,82 @@ def replica_store(spark: SparkSession, d: str) -> DataFrame:
         return written(replica.live(), "replica")
 
 
+def _in_three(log: DataFrame) -> DataFrame:
+    last = F.broadcast(log.agg(F.max("gen").alias("_last")))  # one row
+    return log.join(last, F.lit(True)).withColumn("part", F.floor(F.col("gen") * 3 / (F.col("_last") + 1))).drop("_last")
+
+
+def _applied(spark: SparkSession, d: str, path: str, each) -> None:
+    """A store that takes the events' log in three parts, opened anew for each; `each` is called with it and the part's number."""
+    log = _in_three(events_log(spark, d))
+    for part in range(3):
+        with Store(spark, path, StoreConfig(read_only=True, compact=False)) as store:
+            store.apply_log(log.where(F.col("part") == part))
+            each(store, part)
+
+
+def store_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds that was flushed, flushed and merged, and then recovered from its runs and its log."""
+    path = work_dir(spark, "lifecycle", keep=False)
+    _applied(spark, d, path, lambda store, part: (store.flush(), store.compact()) if part < 2 else None)
+    with Store(spark, path) as store:
+        return written(store.live(), "lifecycle")
+
+
+def store_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The runs that a store's last snapshot names, one for each part of the log."""
+    path = work_dir(spark, "manifest", keep=False)
+    _applied(spark, d, path, lambda store, _: store.flush())
+    with Store(spark, path) as store:
+        text = lambda x: bytes.fromhex(x).decode("utf-16-be")
+        rows = [(r["number"], r["entries"], text(r["low"]), text(r["high"]), r["bytes"], store.seq) for r in store.snapshot["runs"]]
+    return spark.createDataFrame(rows, "file_number long, entry_count long, first_key string, last_key string, data_bytes long, seq long")
+
+
+def store_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Probes of a store that has two runs and a log behind them."""
+    path = work_dir(spark, "lookup", keep=False)
+    _applied(spark, d, path, lambda store, part: store.flush() if part < 2 else None)
+    with Store(spark, path) as store:
+        return written(store.multi_get(_probes(spark, d)), "lookup")
+
+
+def _nations(spark: SparkSession, d: str) -> list[tuple[str, str]]:
+    """A catalogue of a few rows."""
+    nation = spark.read.parquet(f"{d}/nation.parquet").collect()
+    return [(f"nation:{r['n_nationkey']:02d}", f"{r['n_name']}|{r['n_regionkey']}") for r in nation]
+
+
+def tcp_put(spark: SparkSession, d: str) -> DataFrame:
+    """The nations put over TCP by several clients at a time."""
+    pairs = _nations(spark, d)
+    with Store(spark, work_dir(spark, "tcp", keep=False)) as store:
+        server = tcp.serve(store)
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+
+        def send(part: list[tuple[str, str]]) -> None:
+            client = tcp.Client(*server.server_address, timeout=None)
+            client.stream_put(part)
+            client.end()
+
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(send, (pairs[i::8] for i in range(8))))
+        server.shutdown()
+        server.server_close()
+        return written(store.live(), "tcp")
+
+
+def http_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The answers to a GET for each nation, put in one batch, after those of the first region were deleted and the others of the second put again."""
+    pairs = _nations(spark, d)
+    with Store(spark, work_dir(spark, "http", keep=False)) as store, ThreadPoolExecutor(8) as pool:
+        ask = lambda x: http.answer(store, x[0], x[1], json.dumps(x[2]).encode() if len(x) > 2 else b"")
+        ask(("POST", "/batch-put", {"entries": [{"key": k, "value": v} for k, v in pairs]}))
+        list(pool.map(ask, [("DELETE", f"/delete/{k}") for k, v in pairs if v.endswith("|0")] + [("POST", "/put", {"key": k, "value": "again"}) for k, v in pairs if v.endswith("|1")]))
+        rows = [(k, status, body.get("value")) for (k, _), (status, body) in zip(pairs, pool.map(ask, [("GET", f"/get/{quote(k, safe='')}") for k, _ in pairs]), strict=True)]
+    return spark.createDataFrame(rows, "key string, status int, value string")
+
+
 def replica_diff(spark: SparkSession, d: str) -> DataFrame:
     entries = _entries(spark, d)
     return replicas.difference(entries, _flushed(entries)).select("side", "key", "value")
@@ -240,9 +328,10 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    put_overwrite, live_state, tombstones, multi_get, batch_put, range_scan, range_limit, range_inverted, range_page, validate_put, validate_batch, wal_bytes, entry_bytes, entry_encoding,
+    put_overwrite, live_state, tombstones, multi_get, batch_put, range_scan, range_limit, range_inverted, range_page, validate_put, validate_batch, wal_bytes, binary_log, entry_bytes, entry_encoding,
     flush_runs, flush_by_bytes, run_meta, sparse_index, sparse_floor, bloom_params, bloom_hashes, bloom_bytes, bloom_probe, run_pruning, merge_runs, compaction, wal_tail, wal_replay, store_stats, replica_state,
     replication_status, replication_metrics, replica_diff, replica_store, stream_ingest,
+    store_lifecycle, store_manifest, store_lookup, tcp_put, http_requests,
 )
 
 

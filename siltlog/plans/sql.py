@@ -136,5 +136,17 @@ SQL = {
     "replica_diff": f"""WITH {LOG}, {LAST}, {REPLICA}, {REPLICA_LAST}, a AS (SELECT key, value FROM last WHERE NOT deleted), b AS (SELECT key, value FROM rlast WHERE NOT deleted)
         SELECT 'primary' AS side, key, value FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) x
         UNION ALL SELECT 'replica', key, value FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) y""",
+    "binary_log": f"""WITH {LOG}, {BATCH} SELECT seq, op, key, CASE WHEN op = 'PUT' THEN value END AS value, CAST(0 AS BIGINT) AS entries FROM log
+        UNION ALL SELECT l_orderkey, 'BATCH_PUT', NULL, NULL, count(*) FROM lines GROUP BY l_orderkey""",
+    "store_lifecycle": f"WITH {LOG}, {LAST} SELECT key, value FROM last WHERE NOT deleted",
+    "store_manifest": f"""WITH {LOG}, three AS (SELECT *, gen * 3 // ((SELECT max(gen) FROM log) + 1) AS part FROM log), runs AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part, key ORDER BY seq DESC) AS rn FROM three) t WHERE rn = 1)
+        SELECT row_number() OVER (ORDER BY part) AS file_number, count(*) AS entry_count, min(key) AS first_key, max(key) AS last_key, CAST(sum({BYTES} + 15) AS BIGINT) AS data_bytes,
+          (SELECT max(seq) FROM log) AS seq FROM runs GROUP BY part""",
+    "store_lookup": f"""WITH {LOG}, {LAST}, {PROBES} SELECT p.key, CASE WHEN l.value IS NULL THEN 404 ELSE 200 END AS status, l.value
+        FROM probes p LEFT JOIN (SELECT * FROM last WHERE NOT deleted) l ON p.key = l.key""",
+    "tcp_put": "SELECT 'nation:' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS key, n_name || '|' || n_regionkey AS value FROM nation",
+    "http_requests": """SELECT 'nation:' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS key, CASE WHEN n_regionkey = 0 THEN 404 ELSE 200 END AS status,
+        CASE n_regionkey WHEN 0 THEN NULL WHEN 1 THEN 'again' ELSE n_name || '|' || n_regionkey END AS value FROM nation""",
     "stream_ingest": f"WITH {LOG}, {LAST} SELECT key, value FROM last WHERE NOT deleted",
 }

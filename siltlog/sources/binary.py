@@ -19,6 +19,7 @@ from siltlog.operators.mutations import LOG_SCHEMA
 #: The operations' numbers in a record.
 CODES = {"PUT": 1, "DELETE": 2, "BATCH_PUT": 3}
 _NAMES = {code: op for op, code in CODES.items()}
+_COLUMNS = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
 
 
 def _key(text: str) -> bytes:
@@ -103,14 +104,28 @@ def decode_entry(data: bytes, at: int = 0) -> tuple[str, str, int, bool, int]:
     return out[0], out[1], ts, deleted == 1, at + 9
 
 
-def read_binary_log(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all *.log files in a folder; whole files are read, many at a time, and need no order."""
+def encode_log(log: DataFrame) -> DataFrame:
+    """(content): the records of a log as bytes, many in each row, as a file of them holds them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(*(batch[c] for c in _COLUMNS), strict=True)
+            yield pd.DataFrame({"content": [b"".join(encode(int(r[0]), int(r[1]), *r[2:]) for r in rows)]})
+
+    return log.select(*_COLUMNS).mapInPandas(run, "content binary")
+
+
+def decode_log(contents: DataFrame) -> DataFrame:
+    """The records of rows (content), each up to its first record that is broken."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
         for batch in batches:
             for content in batch["content"]:
-                yield pd.DataFrame(list(decode(bytes(content))), columns=names)
+                yield pd.DataFrame(list(decode(bytes(content))), columns=_COLUMNS)
+
+    return contents.select("content").mapInPandas(run, LOG_SCHEMA)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path)
-    return files.select("content").mapInPandas(run, LOG_SCHEMA)
+
+def read_binary_log(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all *.log files in a folder; whole files are read, many at a time, and need no order."""
+    return decode_log(spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path))
