@@ -125,17 +125,46 @@ def test_fingerprints_of_odd_rows(spark):
     assert len({r["fingerprint"] for r in got}) == len({plain(t) for _, t, _ in rows})
     assert op4_fingerprint.fingerprints(docs.limit(0)).count() == 0
     near = op4_fingerprint.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"]).collect()
-    order = sorted(((-1 if i is None else i, t or "") for i, t, _ in rows))
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(((-1 if i is None else i, t or "") for i, t, _ in rows), key=lambda r: (r[0], signed(r[1])))
     follow = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"], r["next_text"]) for r in near)
     assert sorted((*a, b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True)) == follow
 
 
 def test_mixed_hashes_are_told_apart(spark):
-    df = spark.createDataFrame([("h", "a"), ("h", "b"), ("g", "c"), ("g", "c")], "hash string, canonical string")
-    got = op4_fingerprint.resolved(df, op4_fingerprint.mixed_hashes(df), "hash", "canonical", "print").collect()
+    df = spark.createDataFrame([("h", "a", "A"), ("h", "b", "B"), ("g", "c", "C"), ("g", "c", "C")], "hash string, canonical string, strong string")
+    got = op4_fingerprint.resolved(df, op4_fingerprint.mixed_hashes(df), {"print": ""}).collect()
     assert len({r["print"] for r in got}) == 3 and {r["print"] for r in got if r["hash"] == "g"} == {"g"}
 
 
+def test_colliding_hashes_of_texts_and_edited_texts(spark, monkeypatch):
+    wide = op4_fingerprint.wide_hash
+    monkeypatch.setattr(op4_fingerprint, "wide_hash", lambda x: F.substring(wide(x), 1, 1))
+    docs = documents(spark)
+    prints = {}
+    for k, r in enumerate(sorted(op4_fingerprint.query(spark, DATA).collect(), key=lambda r: r["doc_id"])):
+        text, after = docs[k][1], docs[(k + 1) % len(docs)][1]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert (r["near_edited"], r["near_next"]) == (float(plain(edited) == plain(text)), float(plain(after) == plain(text)))
+        for t, found in ((text, r["fingerprint"]), (edited, r["edited_fingerprint"])):
+            assert prints.setdefault(plain(t), found) == found
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_rows_of_a_hot_id_follow_each_other(spark):
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text {k}") for k in range(600)]
+    got = op4_fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"]).collect()
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], signed(r[1])))
+    assert {r["text"]: r["next_text"] for r in got} == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)} and len(got) == 600
+
+
+def test_texts_are_made_canonical_once(spark):
+    plan = op4_fingerprint.edited_rows(spark.read.parquet(f"{DATA}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    # three for a text, once each for the rows, for the first rows of ranges and for the edited texts
+    assert plan.count("reflect(") <= 9 and op4_fingerprint.edited_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # near copies
 
 
@@ -348,6 +377,29 @@ def test_repeats_equal_brute_force(spark, monkeypatch, many):
     assert [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got] == brute_removed(docs)
 
 
+def test_repeat_query_equals_brute_force(spark):
+    expected = [(i, n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, gone, spans, kept in brute_removed(documents(spark))]
+    got = op8_suffix.query(spark, DATA).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got] == expected
+
+
+def test_one_bucket_is_held_at_a_time():
+    import pyarrow as pa
+
+    made = []
+
+    def batches():
+        for bucket in range(50):
+            for _ in range(3):
+                e = np.zeros(100, op8_suffix.ENTRY)
+                e["key"] = bucket
+                made.append(bucket)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([op8_suffix.CONTEXT], pa.int32()), pa.array([op8_suffix.packed(e)], pa.binary())], names=["bucket", "kind", "blob"])
+
+    for k, by in enumerate(op8_suffix.by_bucket(batches())):
+        assert set(by[op8_suffix.CONTEXT]["key"].tolist()) == {k} and len(by[op8_suffix.CONTEXT]) == 300 and len(made) <= 3 * (k + 1) + 1
+
+
 def test_repeats_in_odd_rows(spark):
     docs, rows = odd_rows(spark)
     got = op8_suffix.remove_repeats(docs).collect()
