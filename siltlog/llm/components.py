@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import written
+from siltlog.llm.common import dropped, written
 
 #: Rows of one key are dealt to so many tasks when they are joined with what was found for the key.
 SALTS = 16
@@ -31,16 +31,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.where("u is not null and v is not null and u != v").select("u", "v").distinct()
     both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    roots = written(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("root")), "roots")
+    roots = written(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("root"), F.col("u").alias("was")), "roots")
     while True:
-        near = salted_join(both.withColumnRenamed("v", "node"), roots, "node", "u").groupBy("u").agg(F.min("root").alias("low"))
-        step = roots.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("root", "low").alias("root"), F.col("root").alias("was"))
+        near = salted_join(both.withColumnRenamed("v", "node"), roots.drop("was"), "node", "u").groupBy("u").agg(F.min("root").alias("low"))
+        step = roots.drop("was").join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("root", "low").alias("root"), F.col("root").alias("was"))
         # hooking: a root whose member found a smaller one takes that too
         hooked = step.groupBy(F.col("was").alias("node")).agg(F.min("root").alias("hook"))
         step = written(step.join(hooked, "node", "left").select("node", F.least("root", "hook").alias("root"), "was"), "step")
         up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = salted_join(step, up, "root", "node").select("node", F.least("root", "above").alias("root"), "was")
-        step = written(step, "roots")
-        roots = step.select("node", "root")
-        if step.where("root != was").isEmpty():
-            return roots
+        after = written(salted_join(step, up, "root", "node").select("node", F.least("root", "above").alias("root"), "was"), "roots")
+        dropped(step, roots)  # what the next round doesn't read
+        roots = after
+        if roots.where("root != was").isEmpty():
+            dropped(both)
+            return roots.select("node", "root")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import table, written
+from siltlog.llm.common import fresh, table, written
 from siltlog.llm.components import components, salted_join
 
 NAME = "op6_simhash"
@@ -27,6 +27,8 @@ NAME = "op6_simhash"
 NO_ID = -(1 << 63)
 #: Fingerprints in a tile; a fuller population class is dealt over several tiles.
 TILE = 4096
+#: Tiles of a class that meet others in one unit of work, and tasks for each shuffle partition that units are dealt to.
+TILES_AT_ONCE, PAIR_TASKS = 16, 2
 #: Rows of a tile compared at a time.
 BLOCK = 256
 #: Shingles whose bits are counted at a time.
@@ -153,6 +155,18 @@ class Near:
         at = lambda n: np.where(few, n, 0).astype(np.int64)
         return np.where(few, _counted(self.similarity)[at(x), at(y)], angle)
 
+    def most(self, part, bits: int):
+        """Bits that differ at most where each of `bits` differs with the chance `part`."""
+        return bits * part + DEVIATIONS * np.sqrt(bits * part * (1 - part))
+
+    def _widest(self) -> float:
+        # the angle is widest between texts of one size
+        return max(_counted(self.similarity).max(), math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi)
+
+    def widest(self, bits: int) -> int:
+        """The radius that no linking fingerprints lie beyond."""
+        return math.floor(self.most(self._widest(), bits)) if self.similarity else self.radius
+
     def hits(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
         few = min(a.shape[1], 4)  # words that decide first
         apart = np.zeros((len(a), len(b)), np.uint16)
@@ -162,15 +176,12 @@ class Near:
             for k in range(few, a.shape[1]):
                 apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
             return apart <= self.radius
-        most = lambda part, bits: bits * part + DEVIATIONS * np.sqrt(bits * part * (1 - part))
-        # the angle is widest between texts of one size
-        widest = max(_counted(self.similarity).max(), math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi)
-        hits = apart <= most(widest, 64 * few)
+        hits = apart <= self.most(self._widest(), 64 * few)
         rows, columns = np.nonzero(hits)
         if len(rows):
             part = self.chance(sizes_a[rows].astype(float), sizes_b[columns].astype(float))
             differ = np.bitwise_count(a[rows] ^ b[columns]).sum(axis=1, dtype=np.int64)
-            hits[rows, columns] = (part >= 0) & (differ <= most(np.maximum(part, 0), 64 * a.shape[1]))
+            hits[rows, columns] = (part >= 0) & (differ <= self.most(np.maximum(part, 0), 64 * a.shape[1]))
         return hits
 
 
@@ -194,44 +205,57 @@ def _forest(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarr
 def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
     """(u, v): links between different fingerprints as `near` says, enough of them for the components.
 
-    prints: fingerprint and size, one row for each fingerprint; digits beyond `bits` tell equal fingerprints apart. All pairs that can link are compared, whatever the
-    number of fingerprints. A small radius prunes by the population counts of four parts of the fingerprint; with a
-    similarity, sizes within its ratio are compared, as others can't come to it.
+    prints: fingerprint and size, one row for each fingerprint; digits beyond `bits` tell equal fingerprints apart. All
+    pairs that can link are compared, whatever the number of fingerprints. Tiles whose population counts lie further
+    apart than the radius are skipped: a small radius goes by the counts of four parts of the fingerprint, a wide one by
+    classes of the whole count as wide as itself. With a similarity only sizes within its ratio are compared, as others
+    can't come to it.
     """
     size_ratio = near.similarity
-    radius = bits if size_ratio else near.radius
-    parts = 4 if radius <= 4 else 1
+    radius = near.widest(bits)
+    parts = 4 if radius <= 4 and bits <= 64 else 1
+    unit = 1 if parts > 1 else radius
     width = bits // parts // 4  # hex digits
-    # a radius that wide leaves nothing to prune by populations: sizes alone do
     count = lambda i: sum(
         F.bit_count(F.conv(F.substring("fingerprint", i * width + at + 1, min(8, width - at)), 16, 10).cast("long")) for at in range(0, width, 8)
     )
     bucket = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(-math.log(size_ratio)) + 1e-9).cast("int") if size_ratio else F.lit(0)
-    keyed = prints.select("fingerprint", "size", *((count(i).cast("int") if parts > 1 else F.lit(0)).alias(f"k{i}") for i in range(parts)), bucket.alias("k9"))
+    keyed = prints.select("fingerprint", "size", *(F.floor(count(i) / unit).cast("int").alias(f"k{i}") for i in range(parts)), bucket.alias("k9"))
     keys = [f"k{i}" for i in range(parts)] + ["k9"]
-    # at most (bits / parts + 1) ** parts population classes for each size bucket, of which there are under 200
-    classes = keyed.groupBy(keys).count().select(*keys, F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    # at most (bits / parts / unit + 1) ** parts population classes for each size bucket, of which there are under 200
+    # so their table is broadcast: at most 3 MB for 64 bits in four parts
+    classes = written(keyed.groupBy(keys).count().select(*keys, F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "classes")
     tiles = written(
-        keyed.join(classes, keys)
+        keyed.join(F.broadcast(classes), keys)
         .withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int"))
         .groupBy(*keys, "tile")
-        .agg(F.collect_list(F.unhex("fingerprint")).alias("prints"), F.collect_list("size").alias("sizes")),
+        .agg(F.collect_list(F.unhex("fingerprint")).alias("prints"), F.collect_list("size").alias("sizes"))
+        .withColumn("at", F.struct(*keys, "tile")),
         "tiles",
     )
-    steps = [d for d in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius] if parts > 1 else [(0,)]
+    reach = radius // unit
+    steps = [d for d in itertools.product(range(-reach, reach + 1), repeat=parts) if sum(map(abs, d)) <= reach]
     steps = [(*d, s) for d in steps for s in ((-1, 0, 1) if size_ratio else (0,))]
     steps = [d for d in steps if d >= (0,) * len(d)]  # one of each pair of opposite steps, and none at all
-    here = tiles.withColumn("step", F.explode(F.array(*(F.struct(*(F.lit(x).alias(k) for x, k in zip(d, keys, strict=True))) for d in steps))))
-    here = here.select(
-        *((F.col(k) + F.col(f"step.{k}")).alias(k) for k in keys),
-        F.struct(*keys, "tile").alias("a_at"),
-        F.array_max(F.transform(F.array(*(F.col(f"step.{k}") for k in keys)), F.abs)).alias("moved"),
-        F.col("prints").alias("a"),
-        F.col("sizes").alias("a_sizes"),
-    )
-    there = tiles.select(*keys, F.struct(*keys, "tile").alias("b_at"), F.col("prints").alias("b"), F.col("sizes").alias("b_sizes"))
+    move = F.explode(F.array(*(F.struct(*(F.lit(x).alias(k) for x, k in zip(d, keys, strict=True))) for d in steps)))
+    moved = lambda df: df.withColumn("step", move).select(*((F.col(k) + F.col(f"step.{k}")).alias(k) for k in keys), *(c for c in df.columns if c not in keys))
+    # a class of many tiles is cut into shares, and each share of it meets each share of a class in another unit of work:
+    # a tile goes to as many units as there are shares that it meets, not to each tile that it meets
+    shares = classes.select(*keys, F.ceil(F.col("tiles") / TILES_AT_ONCE).cast("int").alias("shares"))
+    others = moved(shares.withColumnRenamed("shares", "others")).groupBy(*keys).agg(F.max("others").alias("others"))
+    shares = F.broadcast(written(shares.join(others, keys), "shares"))  # a narrow row for each class
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = F.floor(F.col("tile") / TILES_AT_ONCE).cast("int")
+    unit_of = [*keys, "share_a", "share_b"]
+    here = moved(tiles.select(*keys, share.alias("share_a"), F.col("at").alias("a_at"), F.col("prints").alias("a"), F.col("sizes").alias("a_sizes")))
+    here = here.join(shares, keys).withColumn("share_b", each("shares")).drop("shares", "others")
+    there = tiles.select(*keys, share.alias("share_b"), F.col("at").alias("b_at"), F.col("prints").alias("b"), F.col("sizes").alias("b_sizes"))
+    there = there.join(shares, keys).withColumn("share_a", each("others")).drop("shares", "others")
+    tasks = PAIR_TASKS * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = here.repartition(tasks, *unit_of).join(there.repartition(tasks, *unit_of), unit_of)
+    same = F.struct(*(F.col(f"a_at.{k}") for k in keys)) == F.struct(*(F.col(f"b_at.{k}") for k in keys))
     # within a class each pair of its tiles once
-    pairs = here.join(there, keys).where((F.col("moved") > 0) | (F.col("a_at") <= F.col("b_at"))).select("a", "a_sizes", "b", "b_sizes")
+    pairs = met.where(~same | (F.col("a_at") <= F.col("b_at"))).select("a", "a_sizes", "b", "b_sizes")
 
     def run(batches):
         for batch in batches:
@@ -253,8 +277,9 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
 NEAR = Near()
 #: For corpora: five-word shingles, similarity 0.8. 512 bits.
 CORPUS = {"words": 5, "bits": 512, "near": Near(similarity=0.8)}
-#: Documents of a loose component that are checked exactly with each other at a time; larger components are cut into pairs of such parts.
-PART = 128
+#: Documents, and different shingles of them, of a loose component that are checked exactly with each other at a time;
+#: larger components are cut into pairs of such parts.
+PART, PART_SHINGLES = 128, 1 << 19
 #: Shingles that are counted at a time.
 COLUMNS = 4096
 
@@ -284,9 +309,9 @@ def checked_links(docs: DataFrame, different: DataFrame, loose: DataFrame, words
     One text of each fingerprint is read again for its shingles. A component of many texts is dealt over parts that
     meet pair by pair, so no task holds more than two parts.
     """
-    counts = loose.groupBy("root").count().select("root", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    members = salted_join(loose.withColumnRenamed("node", "fingerprint"), counts, "root", "fingerprint")
-    members = written(members.join(different.select("fingerprint", "of"), "fingerprint"), "members")
+    sized = loose.withColumnRenamed("node", "fingerprint").join(different.select("fingerprint", "of", "size"), "fingerprint")
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / PART_SHINGLES)).cast("int")
+    members = written(salted_join(sized, sized.groupBy("root").agg(parts.alias("parts")), "root", "fingerprint").drop("size"), "members")
     read = docs.withColumn("of", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th")))
     texts = read.join(members, "of").select("root", "parts", "fingerprint", "text")
 
@@ -357,12 +382,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Similar means a Jaccard similarity of 0.8 or more, counted exactly where the fingerprints come near it. Columns and kept rows are unchanged. Of
     rows with one doc_id and text one stays; different texts under one doc_id stay or go together. A document without
-    doc_id stays if no document with one is similar, once for each text.
+    doc_id stays if no document with one is similar, once for each text. Texts without words are all alike, so one of
+    them stays. An empty table stays empty.
     """
     found = simhash_components(docs, **CORPUS)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(kept, "_key", "left_semi")
-    return rows.dropDuplicates(["_key", "text"]).select(*docs.columns)
+    key = fresh(docs.columns, "key")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(kept, key, "left_semi")
+    return rows.dropDuplicates([key, "text"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
