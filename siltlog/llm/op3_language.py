@@ -15,27 +15,27 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import held_out, table
+from siltlog.llm.common import held_out, table, written
 
 NAME = "op3_language"
-#: About so many texts of each language are read for the dictionaries.
+#: So many different texts of each language are read for the dictionaries, or all if there are fewer.
 TEXTS_PER_LANGUAGE = 120
+#: So many times as many pass the first choice, which goes by an estimate of how many there are.
+SPARE = 4
 #: Bytes of a language's dictionary at most, an equal part from each of its texts.
 DICTIONARY_BYTES = 48_000
 #: Places of a text that its part comes from, chosen with the seed.
 PIECES, SEED = 4, 42
-#: More different values than this in `lang` are an error: they would not be languages.
-MOST_LANGUAGES = 500
 LEVEL = 6
 #: The next language must need this much more, as a part of the smallest size, or the choice is rejected.
 MARGIN = 0.02
 UNKNOWN = "und"
-#: Shorter texts are repeated before they are compressed: zstandard stores what it would hardly shrink, under any
-#: dictionary alike. What is repeated costs next to nothing, so the first time still decides.
-SHORT_BYTES, REPEATS = 256, 4
+#: Bytes behind every text, of its endless repetition: zstandard stores what it would hardly shrink, under any dictionary
+#: alike, and a text that comes again always shrinks. What is repeated costs next to nothing, so the first time decides.
+AGAIN_BYTES = 768
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -60,9 +60,8 @@ def pieces(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
-def dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """An equal part of every text, from places all over it; what short texts leave over goes to the longer ones."""
-    parts = [folded(t).encode() for t in texts]
+def dictionary(parts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """An equal part of every folded text, from places all over it; what short texts leave over goes to the longer ones."""
     left, shares = size, [0] * len(parts)
     for k, i in enumerate(sorted(range(len(parts)), key=lambda i: len(parts[i]))):
         shares[i] = min(len(parts[i]), left // (len(parts) - k))
@@ -82,8 +81,7 @@ class Model:
     def sizes(self, text: str) -> list[int]:
         """Bytes that the text needs under each language."""
         data = folded(text).encode()
-        if len(data) < SHORT_BYTES:
-            data *= REPEATS
+        data += (data * (AGAIN_BYTES // len(data) + 1))[:AGAIN_BYTES]
         return [len(c.compress(data)) for c in self.compressors()]
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -114,24 +112,36 @@ def _compressors(model: Model) -> list:
 
 
 def fit(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> Model:
-    """Dictionaries from about texts_per_language texts of each language, chosen by hash over the whole table.
+    """A dictionary of `size` bytes at most for each language, from texts_per_language different texts of it.
 
-    Rows with crc32(doc_id) mod 3 = 1, a null lang or a null or empty text are never learned from.
+    Rows with crc32(doc_id) mod 3 = 1, a null lang or a null or empty text are never learned from. Texts are chosen by
+    the least hashes of the text itself, over the whole table, so copies count once and rows without an id like
+    others. Any number of languages is learned: what reaches the driver is their dictionaries. Executors hold `size`
+    bytes at most of each chosen text, from seeded places all over it.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    read = read.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1) & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in read.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
-    if not counts:
-        return Model((), ())
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    wanted = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, texts_per_language / n))))
-    taken = read.where(place < wanted[F.col("lang")]).limit(2 * texts_per_language * len(counts)).collect()
-    by: dict[str, list] = {}
-    for r in sorted(taken, key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"])):
-        by.setdefault(r["lang"], []).append(r["text"])
-    return Model(tuple(by), tuple(dictionary(texts, size) for texts in by.values()))
+    read = read.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1) & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text", F.lit(SEED)).alias("place"))
+    # a narrow row for each language; half of all hashes lie below zero
+    counts = read.groupBy("lang").agg(F.approx_count_distinct("place").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(float(SPARE * texts_per_language)) / F.greatest("n", F.lit(1)))
+    found = read.join(written(counts, "languages"), "lang").where(F.col("place") / float(1 << 64) + 0.5 <= share)
+    found = found.groupBy("lang", "place").agg(F.min("text").alias("text"))  # copies meet here
+    by = Window.partitionBy("lang").orderBy("place")
+    chosen = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= texts_per_language)
+
+    def cut(batches):
+        for batch in batches:
+            parts = [pieces(folded(t.as_py()).encode(), size) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["lang", "rank", "part"])
+
+    def joined(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rank")
+        return pa.table({"lang": rows.column("lang").slice(0, 1), "dictionary": pa.array([dictionary(rows.column("part").to_pylist(), size)], pa.binary())})
+
+    parts = chosen.select("lang", "rank", "text").mapInArrow(cut, "lang string, rank int, part binary")
+    made = parts.groupBy("lang").applyInArrow(joined, "lang string, dictionary binary").toArrow()
+    by_name = sorted(zip(made.column("lang").to_pylist(), made.column("dictionary").to_pylist(), strict=True))
+    return Model(tuple(lang for lang, _ in by_name), tuple(d for _, d in by_name))
 
 
 def predict(docs: DataFrame, model: Model, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
