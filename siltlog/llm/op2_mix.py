@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import table, written
+from siltlog.llm.common import fresh, table, written
 
 NAME = "op2_mix"
 #: Weights of the sources by code point, null last, repeating.
@@ -30,6 +30,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def document(doc_id: Column, text: Column) -> Column:
+    """What a document's place goes by: its id, or where it has none a digest of its text, so that such rows spread too."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
 def hash32(seed: int, *columns: Column) -> Column:
     """32 bits of MD5 of the columns as text, null apart from empty: the same number in any SQL engine."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("~")) for c in columns))
@@ -80,16 +85,22 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * flat, F.col("cap").cast("double")))).select("id_source", "source_null", "source_size", "target")
 
 
-def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row: the words of it that the mix takes.
 
     A null text has size 0 and gives nothing; a null source is a source of its own, the last; rows without doc_id or
     repeated rows are documents like others, in the order of equal hashes by id and size. An empty table gives an
     empty result; other columns are not read. Sources and shards are few (at most MOST_SHARDS beyond one for each
-    source); no window spans more than one shard's narrow rows. Columns of `carry` come along with each row,
-    and then `end`, the words of its shard up to its own last one; rows of equal hash, id and size are in their order.
+    source); no window spans more than one shard's narrow rows. A column `row_col` that numbers the rows settles their
+    order where hash, id and size are equal, and comes along, as `row`, with `times`: how often the whole document is
+    taken. In the order of their sizes a shard's documents are taken whenever the sum of their taken / size passes a
+    whole number, from a seeded start on: a shard's words differ from what it gives by no more than two of its
+    longest documents, and each document's times from its own share by less than one. Documents without words come once.
     """
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *carry)
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    carry = ["row"] if row_col else []
+    row = [F.col(row_col).alias("row")] if row_col else []
+    read = docs.select(id_.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), document(id_, text).alias("document"), *row)
     read = written(read.withColumns({"source_null": F.col("source").isNull(), "id_source": F.coalesce("source", F.lit(""))}), "sizes")
     by_source = ["source_null", "id_source"]
     sources = targets(read.groupBy(*by_source).agg(F.sum("size").alias("source_size")))
@@ -97,7 +108,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_co
     shard_words = F.greatest(F.lit(SHARD_WORDS), F.ceil(F.sum("source_size").over(everything) / MOST_SHARDS))
     sources = written(sources.withColumn("n_shards", F.ceil(F.col("source_size") / shard_words)), "sources")
     # documents with their shards; the sources' table is small, and Spark broadcasts it if it is below its own limit
-    dealt = read.join(sources, by_source).withColumn("id_shard", F.pmod(hash32(seed, F.col("doc_id")), F.greatest("n_shards", F.lit(1))))
+    dealt = read.join(sources, by_source).withColumn("id_shard", F.pmod(hash32(seed, F.col("document")), F.greatest("n_shards", F.lit(1))))
     shards = dealt.groupBy(*by_source, "id_shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.withColumn("n_blocks", F.ceil(F.col("shard_size") / block_words))
     blocks = shards.groupBy(*by_source).agg(F.sum("n_blocks").alias("source_blocks"))
@@ -115,7 +126,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_co
     })
     per_shard = written(per_shard.select(*by_source, "id_shard", "shard_size", "n_blocks", "all", "extra", "shift"), "quotas")
     along = Window.partitionBy(*by_source, "id_shard").orderBy("place", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("place", hash32(seed + 2, F.col("doc_id"))).withColumn("end", F.sum("size").over(along))
+    placed = dealt.withColumn("place", hash32(seed + 2, F.col("document"))).withColumn("end", F.sum("size").over(along))
     placed = placed.join(per_shard, [*by_source, "id_shard"])
 
     def taken_before(x: Column) -> Column:
@@ -134,7 +145,29 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, id_co
     begin = F.col("end") - F.col("size")
     taken = F.when(F.col("size") > 0, taken_before(F.col("end")) - taken_before(begin)).otherwise(0)
     limited = F.least(F.greatest(taken, F.lit(0)), MOST_REPEATS * F.col("size")).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", limited.alias("taken"), *carry, *(("end",) if carry else ()))
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    if not row_col:
+        return placed.select(*columns, limited.alias("taken"))
+    ordered = Window.partitionBy(*by_source, "id_shard").orderBy("size", "place", "doc_id", "row")
+    start = hash32(seed + 3, F.col("id_source"), F.col("id_shard")) / float(1 << 32)
+    whole = placed.withColumn("taken", limited).withColumn("part", F.when(F.col("size") > 0, F.col("taken") / F.greatest("size", F.lit(1))).otherwise(0.0))
+    whole = whole.withColumn("sum", F.sum("part").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) + start)
+    # the same number twice, so that what one document is left with the next begins with
+    times = F.floor("sum") - F.floor(F.coalesce(F.lag("sum").over(ordered), start))
+    return whole.withColumn("times", F.when(F.col("size") > 0, F.least(times, F.lit(MOST_REPEATS))).otherwise(1).cast("int")).select(*columns, "taken", "row", "times")
+
+
+def materialised(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, whole, as often as the mix takes them; columns unchanged, whatever their names.
+
+    Each row has its own share, also among rows without an id, of one id or repeated: rows are numbered in a written
+    table. Documents that the mix takes nothing of go, those without words stay once. An empty table stays empty.
+    """
+    row, times = (fresh(docs.columns, name) for name in ("row", "times"))
+    placed = written(docs.withColumn(row, F.monotonically_increasing_id()), "placed")
+    mixed = mix(placed, seed, id_col=id_col, text_col=text_col, source_col=source_col, row_col=row)
+    taken = mixed.where("times > 0").select(F.col("row").alias(row), F.col("times").alias(times))
+    return placed.join(taken, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +175,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HASH = "CAST('0x' || substr(md5(concat_ws('|', '{seed}', {of})), 1, 8) AS BIGINT)"
-_DOC = "coalesce(CAST(doc_id AS VARCHAR), '~')"
+_DOC = "document"
 
 #: The same results, with all quotients ranked one by one.
 ORACLE_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS sn, coalesce(source, '') AS sid, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '~' || md5(coalesce(text, ''))) AS document, source IS NULL AS sn, coalesce(source, '') AS sid, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), s0 AS (
   SELECT sn, sid, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sn, sid
