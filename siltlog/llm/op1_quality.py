@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import held_out, labelled_sample, table
+from siltlog.llm.common import fresh, held_out, labelled_sample, table
 
 NAME = "op1_quality"
 #: The most labelled rows that are learned from.
@@ -26,8 +26,8 @@ GRAMS = (3, 4)
 EPOCHS = 6
 RATE = 0.6
 THRESHOLD = 0.7
-#: Bytes of texts worked on at a time.
-STEP_BYTES = 1 << 20
+#: Characters of texts worked on at a time.
+STEP_CHARS = 1 << 20
 #: Between two texts; no n-gram or word reaches over it.
 GAP = max(GRAMS)
 _PRIME = 0x100000001B3
@@ -35,10 +35,9 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [0, 9, 10, 11, 12, 13, 32])
 
 
-def features(texts: list[bytes]):
-    """(bucket, text number) arrays: the n-grams of bytes, the words and the patterns of word pairs of each text."""
-    gap = bytes(GAP)
-    data = np.frombuffer(gap.join([*texts, b""]), np.uint8)
+def features(texts: list[str]):
+    """(bucket, text number) arrays: the n-grams of characters, the words and the patterns of word pairs of each text."""
+    data = np.frombuffer(("\0" * GAP).join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.concatenate([[0], np.cumsum(lengths + GAP)[:-1]]) if len(texts) else np.zeros(0, np.int64)
     wide = data.astype(np.uint64)
@@ -52,7 +51,7 @@ def features(texts: list[bytes]):
         h[: len(h) - n + 1] += wide[n - 1 :] + np.uint64(1)
         if n in GRAMS:
             kinds.append((_bucket(h[at] + np.uint64(n)), owner[at]))
-    space = _SPACE[data]
+    space = _SPACE[np.minimum(data, 255)]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if len(first):
         powers, inverse = (np.cumprod(np.full(len(data), x, np.uint64)) for x in (_PRIME, pow(_PRIME, -1, 1 << 64)))
@@ -77,7 +76,7 @@ class Model:
     gains: np.ndarray
     bias: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
         for bucket, owner in features(texts):
             total += np.bincount(owner, self.gains[bucket], len(texts))
@@ -94,7 +93,7 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     inputs = []
     for text, _ in sample:
-        ids = np.concatenate([b for b, _ in features([text.encode()])])
+        ids = np.concatenate([b for b, _ in features([text])])
         buckets, counts = np.unique(ids, return_counts=True)
         inputs.append((buckets.astype(np.int32), (counts / max(1, len(ids))).astype(np.float32)))
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BUCKETS_LOG2, DIMENSIONS)).astype(np.float32)
@@ -122,11 +121,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and the score of each whole text from 0 to 1.
+    """All columns of docs, and the score of each whole text from 0 to 1, in place of a column of the name score_col if there is one.
 
-    Null and empty texts have no features and get the classes' shares of the labels. Repeated rows stay; an empty table stays empty. A
-    column of the name score_col must not be there yet. Texts are never cut; memory follows the longest one.
+    Null and empty texts have no features and get the classes' shares of the labels. Repeated rows stay; an empty table
+    stays empty. Texts are never cut; memory follows the longest one.
     """
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == score_col.lower()))
     at = docs.schema.names.index(text_col)
 
     def run(batches):
@@ -134,9 +134,9 @@ def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col
             texts = batch.column(at)
             scores, held, size = [], [], 0
             for i in range(len(texts)):
-                held.append((texts[i].as_py() or "").encode())
+                held.append(texts[i].as_py() or "")
                 size += len(held[-1])
-                if size >= STEP_BYTES:
+                if size >= STEP_CHARS:
                     scores.append(model.scores(held))
                     held, size = [], 0
             scores.append(model.scores(held))
@@ -148,8 +148,12 @@ def with_score(docs: DataFrame, model: Model, score_col: str = "score", text_col
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores at least the threshold, with their columns unchanged."""
-    return with_score(docs, model, "_quality_score").where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    """The rows of docs whose text scores at least the threshold, with their columns unchanged, whatever their names.
+
+    Null and empty texts go or stay with their score, repeated rows fare alike, an empty table stays empty.
+    """
+    name = fresh(docs.columns, "score")
+    return with_score(docs, model, name).where(F.col(name) >= threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
