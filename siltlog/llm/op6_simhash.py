@@ -229,8 +229,7 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
         keyed.join(F.broadcast(classes), keys)
         .withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int"))
         .groupBy(*keys, "tile")
-        .agg(F.collect_list(F.unhex("fingerprint")).alias("prints"), F.collect_list("size").alias("sizes"))
-        .withColumn("at", F.struct(*keys, "tile")),
+        .agg(F.collect_list(F.unhex("fingerprint")).alias("prints"), F.collect_list("size").alias("sizes")),
         "tiles",
     )
     reach = radius // unit
@@ -247,31 +246,38 @@ def near_links(prints: DataFrame, bits: int, near: Near) -> DataFrame:
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     share = F.floor(F.col("tile") / TILES_AT_ONCE).cast("int")
     unit_of = [*keys, "share_a", "share_b"]
-    here = moved(tiles.select(*keys, share.alias("share_a"), F.col("at").alias("a_at"), F.col("prints").alias("a"), F.col("sizes").alias("a_sizes")))
+    home = F.concat_ws(",", *keys)
+    here = moved(tiles.select(*keys, share.alias("share_a"), home.alias("home"), "tile", "prints", "sizes"))
     here = here.join(shares, keys).withColumn("share_b", each("shares")).drop("shares", "others")
-    there = tiles.select(*keys, share.alias("share_b"), F.col("at").alias("b_at"), F.col("prints").alias("b"), F.col("sizes").alias("b_sizes"))
+    there = tiles.select(*keys, share.alias("share_b"), home.alias("home"), *(F.col(c).alias(c) for c in ("tile", "prints", "sizes")))
     there = there.join(shares, keys).withColumn("share_a", each("others")).drop("shares", "others")
-    tasks = PAIR_TASKS * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = here.repartition(tasks, *unit_of).join(there.repartition(tasks, *unit_of), unit_of)
-    same = F.struct(*(F.col(f"a_at.{k}") for k in keys)) == F.struct(*(F.col(f"b_at.{k}") for k in keys))
-    # within a class each pair of its tiles once
-    pairs = met.where(~same | (F.col("a_at") <= F.col("b_at"))).select("a", "a_sizes", "b", "b_sizes")
 
-    def run(batches):
-        for batch in batches:
-            u, v = [], []
-            for i in range(batch.num_rows):
-                a, b = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                words = lambda x: np.frombuffer(b"".join(x), ">u8").astype(np.uint64).reshape(len(x), -1)[:, : bits // 64]
-                sizes = [np.array(batch.column(k)[i].as_py(), np.int64) for k in (1, 3)]
+    def tiles_of(rows: pa.Table) -> list[tuple]:
+        """(class, tile, fingerprints, their words, sizes) of the rows."""
+        out = []
+        for home, tile, prints_, sizes in zip(*(rows.column(c) for c in ("home", "tile", "prints", "sizes")), strict=True):
+            raw = prints_.as_py()
+            words = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)[:, : bits // 64]
+            out.append((home.as_py(), tile.as_py(), raw, words, np.array(sizes.as_py(), np.int64)))
+        return out
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        u, v = [], []
+        others_ = tiles_of(right)
+        for home, tile, a, a_words, a_sizes in tiles_of(left):
+            for b_home, b_tile, b, b_words, b_sizes in others_:
+                if home == b_home and tile > b_tile:
+                    continue  # within a class each pair of its tiles once
                 both = a + b
-                for x, y in _forest(words(a), words(b), *sizes, near):
+                for x, y in _forest(a_words, b_words, a_sizes, b_sizes, near):
                     if both[x] != both[y]:
                         u.append(both[x].hex())
                         v.append(both[y].hex())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], names=["u", "v"])
+        return pa.table({"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string())})
 
-    return pairs.mapInArrow(run, "u string, v string")
+    tasks = PAIR_TASKS * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = [df.repartition(tasks, *unit_of).groupBy(*unit_of) for df in (here, there)]
+    return units[0].cogroup(units[1]).applyInArrow(run, "u string, v string")
 
 
 NEAR = Near()

@@ -1,6 +1,7 @@
 """Exact search against brute force, and the pipeline stage by stage."""
 
 import random
+import re
 
 import numpy as np
 
@@ -47,6 +48,32 @@ def test_small_tiles_ties_and_odd_vectors(spark, monkeypatch):
     assert op9_topk.top_k(ints.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_short_tiles_are_not_sent(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    for name, value in (("TILE", 16), ("QUERY_BLOCK", 8), ("UNIT_BYTES", 4096), ("WAVE", 4)):
+        monkeypatch.setattr(op9_topk, name, value)
+    rnd = np.random.default_rng(5)
+    vectors = {i: (rnd.normal(size=8) * (4000 if i % 8 == 0 else 40)).astype(np.int64) for i in range(1600)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, v array<long>")
+    sent, parts = [], []
+    needed, by_hash, by_range = op9_topk.needed_tiles, DataFrame.repartition, DataFrame.repartitionByRange
+
+    def counted(tiles, columns):
+        found = needed(tiles, columns)
+        sent.append((found.count(), tiles.count() * columns.count()))
+        return found
+
+    monkeypatch.setattr(op9_topk, "needed_tiles", counted)
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *c: (parts.append(n), by_hash(self, n, *c))[1])
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *c: (parts.append(n), by_range(self, n, *c))[1])
+    assert by_query(op9_topk.top_k(rows, F.col("vec_id") % 10 == 0, 10)) == brute(vectors, [i for i in vectors if i % 10 == 0], 10)
+    # the lengths of 7 in 8 vectors are a hundredth of the others': their tiles go to no query with ten long neighbours
+    assert sum(a for a, _ in sent) < 0.4 * sum(b for _, b in sent) or sent[-1][0] == 0
+    assert max(parts) <= op9_topk.UNITS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_large_components_are_exact(spark):
     from pyspark.sql import functions as F
 
@@ -96,11 +123,89 @@ def test_mixture_gives_each_source_its_target(spark):
         words[r["source"]] += len(r["text"].split())
         times[r["k"]] = times.get(r["k"], 0) + 1
     assert max(times.values()) <= 2
-    assert all(abs(words[s] - target[s]) < 0.1 * target[s] for s in "abc"), (words, target)
+    assert all(abs(words[s] - target[s]) < 0.02 * target[s] for s in "abc"), (words, target)
     # rows without an id differ in how often they come
     assert len({times.get(k, 0) for k in range(0, 900, 3) if rows[k][2] == "b"}) > 1
 
 
+CLASHES = ("row", "row_2", "times", "times_2", "score", "key", "_key", "_id", "_times", "_copy", "_row", "_text", "_quality_score", "at", "hash", "size", "fingerprint", "document", "taken")
+
+
+def odd_documents(spark):
+    """Null ids and texts, repeated rows, ties, an empty and a very long text, and columns named like what stages make."""
+    body = "the first word of a plain text and many more words of another kind"
+    rows = [(None, None, None), (None, body, "a"), (None, body, "a"), (1, "", "a"), (2, None, "b"), (3, body + " here", "b"), (3, body + " here", "b"), (3, "something else that is not alike at all", "b")]
+    rows += [(4, " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000)), "c"), (5, " \t ", "c")]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES)
+    return spark.createDataFrame([(*r, *(f"{k}{c}" for c in CLASHES)) for k, r in enumerate(rows)], schema)
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(op1_quality, "THRESHOLD", 0.0)
+    monkeypatch.setattr(op1_quality.keep_good, "__defaults__", (0.0,))
+    docs = odd_documents(spark)
+    rows = sorted(map(repr, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), DATA)
+        got = stage(spark, docs, DATA)
+        assert none.count() == 0 and none.columns == got.columns
+        if name == "tokens":
+            assert got.count() == len(rows)
+            continue
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert set(map(repr, found)) <= set(rows) or name == "secrets"
+        if name in ("quality", "secrets"):
+            assert len(found) == len(rows)
+        if name == "near_duplicates":
+            # the wordless rows 1, 2, 5 and the null one are alike; body and body + here are too, and id 3 names that group
+            assert sorted((r["doc_id"], (r["text"] or "")[:9]) for r in found) == [(1, ""), (3, "something"), (3, "the first"), (4, "w0x0 w1x1")]
+        if name == "mixture":
+            words = lambda rs: sum(len((r["text"] or "").split()) for r in rs)
+            assert words(found) <= 2 * words(docs.collect())
+            # texts without words stay once each, and repeated rows have their own shares
+            assert sum(not (r["text"] or "").split() for r in found) == 4
+
+
+def test_near_copies_of_a_table_equal_brute_force(spark):
+    """All pairs of the documents of sf0.01 at 0.8: none is lost, and nothing else goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    white = re.compile(r"[^\x20\x09-\x0D]+")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def shingles(text):
+        w = white.findall(text.translate(lower))
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w)
+
+    sets, by = [shingles(t) for _, t in rows], {}
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    pairs = 0
+    for i, s in enumerate(sets):
+        shared = {}
+        for x in s:
+            for j in by.setdefault(x, []):
+                shared[j] = shared.get(j, 0) + 1
+            by[x].append(i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9:
+                pairs += s != sets[j]
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    wordless = [i for i, s in enumerate(sets) if not s]
+    for i in wordless:
+        group[i] = wordless[0]
+    assert pairs > 10
+    expected = sorted(rows[i][0] for i in range(len(rows)) if root(i) == i)
+    assert sorted(r["doc_id"] for r in op6_simhash.one_of_each(docs).collect()) == expected
+
+
 def brute_kept(rows, least=0.8):
     """Ids that stay when texts of a Jaccard similarity of `least` over five-word shingles are joined, all pairs compared."""
 
