@@ -5,17 +5,15 @@ Quality classifier, SimHash near-dedup, secret scan, mixing of sources, byte-lev
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.llm import op1_quality, op2_mix, op6_simhash, op7_secrets, op10_bpe
-from siltlog.llm.common import shared_dir, table, written
+from siltlog.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go, rows without a text by the score of an empty one."""
     return op1_quality.keep_good(docs, op1_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -31,23 +29,19 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes its words, rounded up or down by a seeded hash of its id and its
-    place in the mix with the chance of the part that is left over, so that each source's words come near its target.
-    Documents that the mix takes no word of go; texts without words stay once. Each row has its own share, also among
-    rows without an id or of one id: rows are numbered in a written table, and the numbers go through the mix.
+    """Documents come as often as the mix takes their words, so that each source's words come near its target.
+
+    Documents that the mix takes nothing of go; texts without words stay once. Each row has its own share, also among
+    rows without an id or of one id.
     """
-    placed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "placed")
-    keyed = placed.withColumn("_text", F.xxhash64("text"))
-    mixed = op2_mix.mix(keyed, carry=("_text", "_row"))
-    part = op2_mix.hash32(op2_mix.SEED + 3, F.col("doc_id"), F.col("end")) / float(1 << 32)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + part)).cast("int")
-    per_row = mixed.select("_row", times.alias("_times")).where("_times > 0")
-    found = placed.join(per_row, "_row")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return op2_mix.materialised(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the token ids of each document, their number, and whether decoding gives back the text's bytes."""
+    """doc_id, the token ids of each document, their number, and the number of bytes that decoding them gives back.
+
+    Every row gives one, repeated rows too; a null text has no ids.
+    """
     path, pattern = op10_bpe.public_vocabulary()
     encoded = op10_bpe.encode_decode(docs, path, pattern)
     return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.length("decoded").cast("long").alias("n_bytes"))
@@ -66,12 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage kept is written under the shared folder and read back."""
+    """The last stage's rows; what each stage kept is written in the shared folder and read back, and goes with the session."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(path)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 
