@@ -54,6 +54,12 @@ def dropped(*tables: DataFrame) -> None:
         system.delete(target, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done: it does so when the driver's JVM collects garbage, which
+    may be long after they were needed last."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _at(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import dropped, written
+from siltlog.llm.common import dropped, swept, written
 
 #: Rows of one key are dealt to so many tasks when they are joined with what was found for the key.
 SALTS = 16
@@ -44,4 +44,5 @@ def components(links: DataFrame) -> DataFrame:
         roots = after
         if roots.where("root != was").isEmpty():
             dropped(both)
+            swept(links.sparkSession)
             return roots.select("node", "root")

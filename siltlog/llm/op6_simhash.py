@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import fresh, table, written
+from siltlog.llm.common import fresh, swept, table, written
 from siltlog.llm.components import components, salted_join
 
 NAME = "op6_simhash"
@@ -330,6 +330,7 @@ def checked_links(docs: DataFrame, different: DataFrame, loose: DataFrame, words
     part = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
     tiles = sets.withColumn("part", part).groupBy("root", "parts", "part").agg(F.collect_list("fingerprint").alias("prints"), F.collect_list("hashes").alias("hashes"))
     tiles = written(tiles, "shingles")
+    swept(docs.sparkSession)  # the texts were shuffled for it
     here = tiles.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1)))
     there = tiles.select("root", F.col("part").alias("other"), F.col("prints").alias("more_prints"), F.col("hashes").alias("more_hashes"))
     pairs = here.join(there, ["root", "other"]).select("prints", "hashes", F.when(F.col("part") != F.col("other"), F.col("more_prints")).alias("more_prints"), "more_hashes")
