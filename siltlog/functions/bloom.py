@@ -45,7 +45,9 @@ def djb2(key: Column) -> Column:
 
 def positions(key: Column, m: Column, k: Column) -> Column:
     """The k bits of a key in a filter of m: (h1 + i * h2) mod 2 ** 32 mod m."""
-    return _positions(fnv1a(key), djb2(key), m, k)
+    # a lambda's body is worked out for each element, so the hashes are bound before
+    hashed = F.array(F.struct(fnv1a(key).alias("a"), djb2(key).alias("b")))
+    return F.get(F.transform(hashed, lambda h: _positions(h["a"], h["b"], m, k)), F.lit(0))
 
 
 def _positions(a: Column, b: Column, m: Column, k: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from siltlog.functions import bloom
@@ -13,6 +14,11 @@ from siltlog.functions.keys import MEMORY_HEAD, entry_bytes, memory_bytes, sort_
 from siltlog.operators.state import latest
 from siltlog.sources.folders import written
 
+#: A Bloom filter of up to so many bits and hash functions is held whole by a task.
+WHOLE_BITS, WHOLE_HASHES = 1 << 20, 16
+#: Probes of a cell, runs of a group and bits of their filters in all, as a task meets them.
+CELL_PROBES, GROUP_RUNS, GROUP_BITS = 1 << 15, 512, 1 << 25
+
 
 def flush(entries: DataFrame, generation: str = "gen") -> DataFrame:
     """The last entry of each key within each generation, tombstones kept: what each run holds."""
@@ -115,21 +121,68 @@ def bloom_params(meta: DataFrame, rate: float = 0.01) -> DataFrame:
 def bloom_bits(runs: DataFrame, params: DataFrame, generation: str = "gen") -> DataFrame:
     """(file_number, num_bits, num_hashes, byte, value): the bytes of each run's Bloom filter that aren't 0, bits from the lowest on.
 
-    Bits meet byte by byte, so a filter of any size is made without one task holding it.
+    Bits meet byte by byte, so a filter of any size is made without one task holding it. Keys of a run of common size are
+    brought together first, where most of its bytes are then made; those of a large run are dealt by their hash.
     """
-    keyed = runs.select((F.col(generation) + 1).cast("long").alias("file_number"), bloom.fnv1a(F.col("key")).alias("a"), bloom.djb2(F.col("key")).alias("b")).distinct()
+    keyed = runs.select((F.col(generation) + 1).cast("long").alias("file_number"), bloom.fnv1a(F.col("key")).alias("a"), bloom.djb2(F.col("key")).alias("b"))
     bits = keyed.join(params.select("file_number", "num_bits", "num_hashes"), "file_number")
+    bits = bits.repartition("file_number", F.col("a") % (F.floor(F.col("num_bits") / WHOLE_BITS) + 1))
     bits = bits.select("file_number", "num_bits", "num_hashes", F.explode(bloom._positions(F.col("a"), F.col("b"), F.col("num_bits"), F.col("num_hashes"))).alias("bit"))
     value = F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int")))
     return bits.groupBy("file_number", "num_bits", "num_hashes", F.floor(F.col("bit") / 8).alias("byte")).agg(value.alias("value"))
 
 
 def bloom_probe(filters: DataFrame, params: DataFrame, probes: DataFrame) -> DataFrame:
-    """(key, file_number, might_contain) for each probe (key) and run, from the filters' bytes."""
-    asked = probes.select("key").distinct().join(F.broadcast(params.select("file_number", "num_bits", "num_hashes")))
-    asked = asked.select("key", "file_number", F.explode(bloom.positions(F.col("key"), F.col("num_bits"), F.col("num_hashes"))).alias("bit"))
+    """(key, file_number, might_contain) for each probe (key) and run, from the filters' bytes.
+
+    A key is hashed once, whatever the number of runs. Filters of common size are held whole as words, and a cell of
+    probes meets a group of runs, so a pair moves nothing. A filter that no task should hold, as of a large run, is asked
+    position by position, byte by byte.
+    """
+    hashed = probes.select("key").where(F.col("key").isNotNull()).distinct().select("key", bloom.fnv1a(F.col("key")).alias("a"), bloom.djb2(F.col("key")).alias("b"))
+    hashed = written(hashed, "probes")
+    params = written(params.select("file_number", "num_bits", "num_hashes"), "params")
+    filters = written(filters.select("file_number", "byte", "value"), "filters")
+    whole = (F.col("num_bits") <= WHOLE_BITS) & (F.col("num_hashes") <= WHOLE_HASHES)
+    held = params.where(whole)
+    size = params.agg(F.count_if(~whole).alias("large"), F.count_if(whole).alias("runs"), F.sum(F.when(whole, F.col("num_bits"))).alias("bits"), F.max(F.when(whole, F.col("num_hashes"))).alias("hashes")).first()
+    found = []
+    if size["runs"]:
+        found.append(_probe_whole(filters, held, hashed, size))
+    if size["large"] or not found:
+        found.append(_probe_bytes(filters, params.where(~whole), hashed))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _probe_whole(filters: DataFrame, params: DataFrame, hashed: DataFrame, size: Row) -> DataFrame:
+    cells = -(-hashed.count() // CELL_PROBES) or 1
+    groups = max(-(-size["runs"] // GROUP_RUNS), -(-size["bits"] // GROUP_BITS))
+    words = filters.join(params, "file_number", "left_semi").select(
+        "file_number",
+        F.floor(F.col("byte") / 8).alias("word"),
+        F.call_function("shiftleft", F.col("value").cast("long"), (F.col("byte") % 8 * 8).cast("int")).alias("bits"),
+    )
+    blank = params.select("file_number", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("num_bits") - 1) / 64))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = words.unionByName(blank).groupBy("file_number", "word").agg(F.bit_or("bits").alias("bits"))
+    made = words.groupBy("file_number").agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits")).join(params, "file_number")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    made = made.withColumns({"group": F.pmod("file_number", F.lit(groups)).cast("int"), "cell": every(cells)}).repartition(cells * groups, "cell", "group")
+    asked = hashed.withColumns({"cell": F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int"), "group": every(groups)}).repartition(cells * groups, "cell", "group")
+
+    def is_set(i: int) -> Column:
+        at = (F.col("a") + F.col("b") * i).bitwiseAND(F.lit(0xFFFFFFFF)) % F.col("num_bits")
+        word = F.get("bits", F.shiftright(at, 6).cast("int"))
+        return (F.col("num_hashes") <= i) | (F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+    might = reduce(Column.__and__, (is_set(i) for i in range(size["hashes"])))
+    return made.join(asked.hint("merge"), ["cell", "group"]).select("key", "file_number", might.alias("might_contain"))
+
+
+def _probe_bytes(filters: DataFrame, params: DataFrame, hashed: DataFrame) -> DataFrame:
+    asked = hashed.join(F.broadcast(params))
+    asked = asked.select("key", "file_number", F.explode(bloom._positions(F.col("a"), F.col("b"), F.col("num_bits"), F.col("num_hashes"))).alias("bit"))
     asked = asked.withColumns({"byte": F.floor(F.col("bit") / 8), "mask": F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))})
-    met = asked.join(filters.select("file_number", "byte", "value"), ["file_number", "byte"], "left")
+    met = asked.join(filters, ["file_number", "byte"], "left")
     return met.groupBy("key", "file_number").agg(F.bool_and(F.coalesce(F.col("value").bitwiseAND(F.col("mask")) > 0, F.lit(False))).alias("might_contain"))
 
 

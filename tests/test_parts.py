@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siltlog.functions.bloom import BloomFilter
 from siltlog.functions.keys import js_text
@@ -87,6 +88,29 @@ def test_bloom_bytes_and_hashes(spark):
     assert all(list(found[k][2]) == f.positions(k) for k in keys)
 
 
+def test_bloom_probe_hashes_a_key_once_and_holds_common_filters_whole(spark, monkeypatch):
+    keys = [[f"k{gen}:{i}é🙂" for i in range(40 if gen < 5 else 700)] for gen in range(6)]
+    df = spark.createDataFrame([(gen, k) for gen, some in enumerate(keys) for k in some], "gen int, key string")
+    params = runs.bloom_params(df.groupBy((F.col("gen") + 1).cast("long").alias("file_number")).agg(F.count("*").alias("entry_count")))
+    probes = [k for some in keys for k in some[::9]] + [f"other:{i}" for i in range(300)] + [""]
+    asked = spark.createDataFrame([(p,) for p in [*probes, probes[0], None]], "key string")
+    expected = set()
+    for gen, some in enumerate(keys):
+        f = BloomFilter(len(some))
+        for k in some:
+            f.add(k)
+        expected |= {(p, gen + 1, f.might_contain(p)) for p in probes}
+    for whole_bits in (1 << 20, 1000, 1):  # all runs' filters held whole; all but the large run's; none
+        monkeypatch.setattr(runs, "WHOLE_BITS", whole_bits)
+        monkeypatch.setattr(runs, "CELL_PROBES", 100)
+        monkeypatch.setattr(runs, "GROUP_RUNS", 2)
+        found = runs.bloom_probe(runs.bloom_bits(df, params), params, asked)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(expected) and set(got) == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "conv(" not in plan  # no hash beside a pair of probe and run
+
+
 def test_sparse_index_and_floor_over_many_ranges(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
