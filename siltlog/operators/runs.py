@@ -18,6 +18,8 @@ from siltlog.sources.folders import written
 WHOLE_BITS, WHOLE_HASHES = 1 << 20, 16
 #: Probes of a cell, runs of a group and bits of their filters in all, as a task meets them.
 CELL_PROBES, GROUP_RUNS, GROUP_BITS = 1 << 15, 512, 1 << 25
+#: Pairs of probe and run, and keys, of a cell of a floor lookup, about.
+CELL_PAIRS, CELL_ROWS = 1 << 23, 1 << 16
 
 
 def flush(entries: DataFrame, generation: str = "gen") -> DataFrame:
@@ -94,22 +96,33 @@ def sparse_index(runs: DataFrame, interval: int = 10, generation: str = "gen") -
 def index_floor(index: DataFrame, probes: DataFrame) -> DataFrame:
     """(key, file_number, floor_key, offset): for each probe (key) and run the last indexed key up to it, and where a read begins.
 
-    Before a run's first key that is its beginning, with no floor key. Probes lie among the index entries of a run in
-    key order, cut into ranges; what a range begins with is the last entry of the ranges before it.
+    Before a run's first key that is its beginning, with no floor key. Probes and the index entries of all runs are cut
+    into cells of their keys, where probes are numbered: an entry is the floor of the probes from its own number to that
+    of its run's next entry. What a run begins a cell with is its last entry of the cells before. So probes meet runs
+    only as the result's rows are made, of which nothing is shuffled or written.
     """
-    files = index.select("file_number").distinct()  # a catalogue
-    asked = probes.select("key").distinct().join(F.broadcast(files)).select("file_number", "key", F.lit(None).cast("long").alias("offset"), F.lit(True).alias("probe"))
-    both = index.select("file_number", "key", "offset", F.lit(False).alias("probe")).unionByName(asked)
-    dealt = both.withColumn("place", sort_key(F.col("key"))).repartitionByRange("file_number", "place", "probe")
-    dealt = written(dealt.withColumn("range", F.spark_partition_id()), "ranges")
-    entry = F.when(~F.col("probe"), F.struct("place", F.col("key").alias("floor_key"), "offset"))
-    along = Window.partitionBy("file_number", "range").orderBy("place", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("file_number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = dealt.groupBy("file_number", "range").agg(F.max(entry).alias("_end"))
-    before = ends.select("file_number", "range", F.max("_end").over(earlier).alias("_before"))
-    found = dealt.withColumn("_own", F.last(entry, ignorenulls=True).over(along)).where("probe").join(before, ["file_number", "range"])
-    floor = F.coalesce("_own", "_before")
-    return found.select("key", "file_number", floor["floor_key"].alias("floor_key"), F.coalesce(floor["offset"], F.lit(0)).alias("offset"))
+    asked = probes.select("key").distinct().select(F.lit(None).cast("long").alias("file_number"), "key", F.lit(None).cast("long").alias("offset"))
+    both = written(index.select("file_number", "key", "offset").unionByName(asked).withColumn("place", sort_key(F.col("key"))), "index")
+    files = both.where("file_number IS NOT NULL").select("file_number").distinct()  # a catalogue
+    rows, count = both.count(), files.count()
+    cells = max(1, -(-rows * count // CELL_PAIRS), -(-rows // CELL_ROWS))
+
+    along = Window.partitionBy("cell").orderBy("place", F.col("file_number").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = both.repartitionByRange(cells, "place").withColumn("cell", F.spark_partition_id())
+    dealt = written(dealt.withColumn("number", F.count_if(F.col("file_number").isNull()).over(along).cast("int")), "cells")
+    keys = dealt.where("file_number IS NULL").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("number", "key")))["key"].alias("keys"))
+    own = dealt.where("file_number IS NOT NULL").select("file_number", "cell", "place", "number", F.col("key").alias("floor_key"), "offset")
+
+    earlier = Window.partitionBy("file_number").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.groupBy("file_number", "cell").agg(F.max(F.struct("place", "floor_key", "offset")).alias("_end"))
+    every = files.select("file_number", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    begins = every.join(ends, ["file_number", "cell"], "left").withColumn("_before", F.max("_end").over(earlier))
+    begins = begins.select("file_number", "cell", F.lit(None).cast("binary").alias("place"), F.lit(0).alias("number"), "_before.floor_key", "_before.offset")
+    steps = own.unionByName(begins).withColumn("next", F.lead("number").over(Window.partitionBy("file_number", "cell").orderBy("place")))
+    steps = steps.where("next IS NULL OR next > number").drop("place").repartition(cells, "cell")
+    probed = F.slice("keys", F.col("number") + 1, F.coalesce("next", F.size("keys")) - F.col("number"))
+    met = steps.join(keys.repartition(cells, "cell").hint("merge"), "cell")
+    return met.select(F.explode(probed).alias("key"), "file_number", "floor_key", F.coalesce("offset", F.lit(0)).alias("offset"))
 
 
 def bloom_params(meta: DataFrame, rate: float = 0.01) -> DataFrame:

@@ -131,6 +131,27 @@ def test_sparse_index_and_floor_over_many_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("pairs", [1 << 23, 900])
+def test_floor_lookup_writes_no_pair_of_probe_and_run(spark, monkeypatch, pairs):
+    rnd = random.Random(5)
+    alphabet = [f"k{i:04d}" for i in range(400)] + ["é", "\uffee", "🙂", "🙂a", ""]
+    index = {run: sorted(rnd.sample(alphabet, size), key=lambda k: k.encode("utf-16-be")) for run, size in ((1, 90), (2, 1), (5, 30), *((run, 2) for run in range(6, 40)))}
+    entries = [(run, k, 7 * i) for run, some in index.items() for i, k in enumerate(some)]
+    probes = [None, "", "a", "z", "\uffff", "🙂b", *alphabet[::3]]
+    made = []
+    monkeypatch.setattr(runs, "written", lambda df, name, keep=runs.written: made.append(keep(df, name)) or made[-1])
+    monkeypatch.setattr(runs, "CELL_PAIRS", pairs, raising=False)
+    found = runs.index_floor(spark.createDataFrame(entries, "file_number long, key string, offset long"), spark.createDataFrame([(p,) for p in [*probes, "a"]], "key string"))
+    got = [tuple(r) for r in found.select("key", "file_number", "floor_key", "offset").collect()]
+    expected = set()
+    for run, some in index.items():
+        for p in set(probes):
+            i = -1 if p is None else sum(k.encode("utf-16-be") <= p.encode("utf-16-be") for k in some) - 1
+            expected.add((p, run, some[i], 7 * i) if i >= 0 else (p, run, None, 0))
+    assert len(got) == len(expected) and set(got) == expected
+    assert all(df.count() <= len(entries) + len(set(probes)) for df in made)
+
+
 def test_frames_come_back():
     import io
 
