@@ -17,7 +17,7 @@ from siltlog.sources.folders import written
 #: A Bloom filter of up to so many bits and hash functions is held whole by a task.
 WHOLE_BITS, WHOLE_HASHES = 1 << 20, 16
 #: Probes of a cell, runs of a group and bits of their filters in all, as a task meets them.
-CELL_PROBES, GROUP_RUNS, GROUP_BITS = 1 << 15, 512, 1 << 25
+CELL_PROBES, GROUP_RUNS, GROUP_BITS = 1 << 14, 512, 1 << 25
 #: Pairs of probe and run, and keys, of a cell of a floor lookup, about.
 CELL_PAIRS, CELL_ROWS = 1 << 23, 1 << 16
 
